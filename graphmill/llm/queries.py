@@ -6,10 +6,11 @@ and derives the digest columns from what the operator returns.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import source_mix, warc
+from graphmill.llm import bpe, source_mix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +63,13 @@ SELECT page_id, payload_bytes,
 FROM hexed
 """
 
-QUERIES = {"op2_source_mix": op2_source_mix, "op10_warc": op10_warc}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model, out_col="score")
+    held_out = toxicity.fold(F.col("doc_id")) == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op7_bpe": op7_bpe, "op10_warc": op10_warc}
 ORACLES = {"op2_source_mix": OP2_SQL, "op10_warc": OP10_SQL}
