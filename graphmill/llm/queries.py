@@ -71,5 +71,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = table(spark, sf_dir, "documents").select("doc_id", tokenizer.encode("text").alias("ids"))
+    both = ids.select("doc_id", "ids", tokenizer.decode("ids").alias("decoded"))
+    return both.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {"op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op7_bpe": op7_bpe, "op10_warc": op10_warc}
 ORACLES = {"op2_source_mix": OP2_SQL, "op10_warc": OP10_SQL}
