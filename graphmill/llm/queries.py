@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, source_mix, toxicity, warc
+from graphmill.llm import bpe, simhash, source_mix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = table(spark, sf_dir, "documents").select("doc_id", tokenizer.encode("text").alias("ids"))
@@ -78,5 +83,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op7_bpe": op7_bpe, "op10_warc": op10_warc}
+QUERIES = {"op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op10_warc": op10_warc}
 ORACLES = {"op2_source_mix": OP2_SQL, "op10_warc": OP10_SQL}
