@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.shared import text_of, written
+from graphmill.llm.shared import small_batches, text_of, written
 
 BITS = 64
 SEED = 42
@@ -80,6 +80,7 @@ def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fp") -> DataFrame:
     """docs with the fingerprint as a signed 64-bit number."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out_col, F.arrow_udf(fingerprints, "long")(text_of(text_col).cast("binary")))
 
 

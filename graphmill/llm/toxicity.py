@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.shared import text_of
+from graphmill.llm.shared import small_batches, text_of
 
 ORDER = 6
 WINDOW = 5
@@ -237,4 +237,5 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
         for batch in batches:
             yield pa.array(score_of(shared.value, statistics_of(batch.to_pylist(), ratios)))
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out_col, scored(text_of(text_col)))
