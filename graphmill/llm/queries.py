@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, secret_scan, simhash, source_mix, toxicity, warc
+from graphmill.llm import bpe, media, secret_scan, simhash, source_mix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = found.withColumn("base", F.filter("spans", lambda s: s["kind"] != "literal"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
@@ -83,6 +84,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = table(spark, sf_dir, "documents").select("doc_id", tokenizer.encode("text").alias("ids"))
@@ -90,5 +95,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op10_warc": op10_warc}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_media": op6_media, "op7_bpe": op7_bpe, "op10_warc": op10_warc}
 ORACLES = {"op2_source_mix": OP2_SQL, "op10_warc": OP10_SQL}
