@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, media, quality, secret_scan, simhash, source_mix, toxicity, warc
+from graphmill.llm import bpe, license_scan, media, quality, secret_scan, simhash, source_mix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.with_license(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "dice", "n_licenses")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -101,5 +105,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op10_warc": op10_warc}
-ORACLES = {"op2_source_mix": OP2_SQL, "op10_warc": OP10_SQL}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_license_scan": op9_license_scan, "op10_warc": op10_warc}
+ORACLES = {"op2_source_mix": OP2_SQL, "op9_license_scan": license_scan.oracle("documents"), "op10_warc": OP10_SQL}
