@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, license_scan, media, quality, secret_scan, simhash, source_mix, toxicity, warc
+from graphmill.llm import bpe, html_extract, license_scan, media, quality, secret_scan, simhash, source_mix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
@@ -105,5 +110,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_license_scan": op9_license_scan, "op10_warc": op10_warc}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_html_text": op5_html_text, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_license_scan": op9_license_scan, "op10_warc": op10_warc}
 ORACLES = {"op2_source_mix": OP2_SQL, "op9_license_scan": license_scan.oracle("documents"), "op10_warc": OP10_SQL}
