@@ -29,6 +29,7 @@ ids. Bytes that are not UTF-8 decode to U+FFFD. Only the named column is read.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 from functools import cache
 from struct import pack
@@ -39,7 +40,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm.shared import file_system, text_of
+from graphmill.llm.shared import file_system, small_batches, text_of
 
 ROOT = 0
 NONE = -1
@@ -47,13 +48,16 @@ SHIFT = 24
 NODE = (1 << SHIFT) - 1
 #: Stands for the last token where a piece begins.
 START = NODE
+NEVER = 1 << 62
 #: Bounds of what one task remembers: determinised sets, pairs, pieces.
-STATES, PAIRS, PIECES = 100_000, 500_000, 500_000
+STATES, PAIRS, PIECES = 50_000, 200_000, 250_000
 BLOCK = 1 << 12
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids that merging the bytes of a short piece by rank gives."""
+def merged(piece: bytes, ranks: dict[bytes, int], heads: list | None = None, tails: list | None = None) -> list[int]:
+    """The ids that merging the bytes of a short piece by rank gives. heads and
+    tails, if given, collect the first and last parts along the way, each with
+    the rank of the merge that swallowed it."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
         best, at = None, 0
@@ -63,6 +67,10 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 best, at = rank, i
         if best is None:
             break
+        if heads is not None and at == 0:
+            heads.append((parts[0], best))
+        if tails is not None and at == len(parts) - 2:
+            tails.append((parts[-1], best))
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return [ranks[p] for p in parts]
 
@@ -80,8 +88,15 @@ class Transducer:
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.token: list[int] = [NONE]
         self.inner: list[bool] = [False]  # whether longer tokens go on from here
+        #: Of each token: its first and last parts while it is merged, and until which rank.
+        self.heads: dict[int, list[tuple[bytes, int]]] = {}
+        self.tails: dict[int, list[tuple[bytes, int]]] = {}
+        self.ordered = True  # whether every merge on the way to a token ranks below it
         for token, i in ranks.items():
-            if len(token) == 1 or merged(token, ranks) == [i]:
+            heads, tails = [], []
+            if len(token) == 1 or merged(token, ranks, heads, tails) == [i]:
+                self.ordered &= heads == sorted(heads, key=lambda x: x[1]) and tails == sorted(tails, key=lambda x: x[1])
+                self.heads[i], self.tails[i] = [*heads, (token, NEVER)], [*tails, (token, NEVER)]
                 node = ROOT
                 for b in token:
                     self.inner[node] = True
@@ -106,10 +121,22 @@ class Transducer:
         if found is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            found = merged(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
+            found = self.apart(left, right) if self.ordered else merged(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
             self.pairs[left << SHIFT | right] = found
         return found
 
+    def apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the border of two tokens: one would need a
+        last part of the left and a first part of the right one whose own
+        merges come later (at equal ranks the one further left comes first)."""
+        ranks = self.ranks
+        for head, swallowed in self.heads[right]:
+            for tail, gone in self.tails[left]:
+                rank = ranks.get(tail + head)
+                if rank is not None and rank < gone and rank <= swallowed:
+                    return False
+        return True
+
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """The transition of a set of paths on a byte: the next set, and the
         token that ends here if the piece does. Paths stand with the longest
@@ -231,7 +258,9 @@ def parsed_ranks(data: bytes) -> dict[bytes, int]:
 @cache
 def pieces_of(data: bytes) -> Pieces:
     """A worker's transducer and its caches, kept from task to task."""
-    return Pieces(parsed_ranks(data))
+    pieces = Pieces(parsed_ranks(data))
+    gc.freeze()  # the vocabulary stays; it needn't be traversed again and again
+    return pieces
 
 
 @cache
@@ -259,7 +288,15 @@ class Tokenizer:
             for ids in batches:
                 yield pa.array([decoder.decode(x) for x in ids.to_pylist()], pa.string())
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("ids binary, decoded string")
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            pieces, split, decoder = pieces_of(vocabulary.value), regex.compile(pattern).findall, decoder_of(vocabulary.value)
+            for texts in batches:
+                ids = [b"".join(map(pieces.__getitem__, split(t))) for t in texts.to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(decoder.decode, ids), pa.string())], ["ids", "decoded"])
+
+        self._encode, self._decode, self._both = encode, decode, both
+        small_batches(spark)
 
     def encode(self, text: str | Column) -> Column:
         """Packed ids of a text column."""
@@ -269,6 +306,11 @@ class Tokenizer:
         """The text of packed ids."""
         return self._decode(F.coalesce(F.col(ids) if isinstance(ids, str) else ids, F.lit(b"")))
 
+    def round_trip(self, text: str | Column) -> Column:
+        """Both at once: a struct of the packed ids and of the text that these
+        decode to, from one pass through one worker."""
+        return self._both(text_of(text))
+
 
 def n_tokens(ids: str | Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")

@@ -105,8 +105,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = table(spark, sf_dir, "documents").select("doc_id", tokenizer.encode("text").alias("ids"))
-    both = ids.select("doc_id", "ids", tokenizer.decode("ids").alias("decoded"))
+    both = table(spark, sf_dir, "documents").select("doc_id", tokenizer.round_trip("text").alias("both")).select("doc_id", "both.*")
     return both.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
