@@ -1,0 +1 @@
+"""Empty on purpose: the workload has no streams."""
