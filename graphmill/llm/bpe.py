@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import re
 from collections.abc import Iterator
 from functools import cache
 from struct import pack
@@ -50,7 +51,7 @@ NODE = (1 << SHIFT) - 1
 START = NODE
 NEVER = 1 << 62
 #: Bounds of what one task remembers: determinised sets, pairs, pieces.
-STATES, PAIRS, PIECES = 50_000, 200_000, 250_000
+STATES, PAIRS, PIECES = 100_000, 300_000, 300_000
 BLOCK = 1 << 12
 
 
@@ -187,11 +188,16 @@ class Pieces(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.machine = Transducer(ranks)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
+        if len(self) >= PIECES:  # what isn't asked for again before the next turn goes
+            self.older = self.copy()
             self.clear()
+        if piece in self.older:
+            self[piece] = self.older[piece]
+            return self[piece]
         data = piece.encode()
         whole = self.machine.ranks.get(data)
         ids = self.machine.encode(data) if whole is None else [whole]
@@ -251,6 +257,30 @@ class Decoder:
         return "".join(texts) + stream.finish()
 
 
+#: The common split pattern, and what its classes hold below U+0100.
+COMMON = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LETTERS, NUMBERS, SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
+
+
+def splitter(pattern: str):
+    """text -> its pieces. Texts of characters below U+0100 are split by the
+    common pattern written out for these, which the faster library can run."""
+    split = regex.compile(pattern).findall
+    if pattern != COMMON:
+        return split
+    other = f"[^{SPACES}{LETTERS}{NUMBERS}]+"
+    narrow = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?{other}|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
+
+    def by_width(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return split(text)
+        return narrow(text)
+
+    return by_width
+
+
 def parsed_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
@@ -278,7 +308,7 @@ class Tokenizer:
 
         @F.arrow_udf("binary")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            pieces, split = pieces_of(vocabulary.value), regex.compile(pattern).findall
+            pieces, split = pieces_of(vocabulary.value), splitter(pattern)
             for texts in batches:
                 yield pa.array([b"".join(map(pieces.__getitem__, split(t))) for t in texts.to_pylist()], pa.binary())
 
@@ -290,7 +320,7 @@ class Tokenizer:
 
         @F.arrow_udf("ids binary, decoded string")
         def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            pieces, split, decoder = pieces_of(vocabulary.value), regex.compile(pattern).findall, decoder_of(vocabulary.value)
+            pieces, split, decoder = pieces_of(vocabulary.value), splitter(pattern), decoder_of(vocabulary.value)
             for texts in batches:
                 ids = [b"".join(map(pieces.__getitem__, split(t))) for t in texts.to_pylist()]
                 yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(decoder.decode, ids), pa.string())], ["ids", "decoded"])
