@@ -25,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.shared import text_of
+from graphmill.llm.shared import packed, text_of, unpacked
 
 DICE = 0.8
 
@@ -94,11 +94,12 @@ def grams_of(unit: Column) -> Column:
 
 
 def with_license(docs: DataFrame, *, text_col: str = "text", dice: float = DICE) -> DataFrame:
-    """docs with license, dice and n_licenses (different licences found)."""
+    """docs with license, dice and n_licenses (different licences found); these
+    replace columns of the same names."""
     rows = template_rows(dice)
     least, most = min(r["lo"] for r in rows), max(r["hi"] for r in rows)
     templates = F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,grams:array<string>,lo:int,hi:int>>")
-    out = docs.withColumn("_units", units_of(text_of(text_col)))
+    out = packed(docs, text_col).withColumn("_units", units_of(text_of("text")))
     out = out.withColumn("_sets", F.filter(F.transform("_units", grams_of), lambda s: F.size(s).between(least, most))).drop("_units")
 
     def hits(grams: Column) -> Column:
@@ -110,7 +111,8 @@ def with_license(docs: DataFrame, *, text_col: str = "text", dice: float = DICE)
     out = out.withColumn("_found", found).drop("_sets")
     out = out.withColumn("dice", F.array_max(F.transform("_found", lambda h: h["dice"])))
     out = out.withColumn("license", F.array_min(F.transform(F.filter("_found", lambda h: h["dice"] == F.col("dice")), lambda h: h["name"])))
-    return out.withColumn("n_licenses", F.size(F.array_distinct(F.transform("_found", lambda h: h["name"]))).cast("long")).drop("_found")
+    out = out.withColumn("n_licenses", F.size(F.array_distinct(F.transform("_found", lambda h: h["name"]))).cast("long"))
+    return unpacked(out, docs.columns, ["license", "dice", "n_licenses"])
 
 
 def oracle(table: str, dice: float = DICE) -> str:

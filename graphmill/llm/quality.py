@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.shared import WORD, text_of
+from graphmill.llm.shared import WORD, packed, text_of, unpacked
 
 BUCKETS = 1 << 16
 #: Pseudo-count of every bucket in both multinomials.
@@ -82,10 +82,13 @@ def covered(places: Column) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda s, g: s + g)
 
 
-def with_counts(docs: DataFrame, *, text_col: str = "text", words_col: str = "words") -> DataFrame:
-    """docs with words_col and the base counts of each text."""
-    out = docs.withColumn(words_col, words_of(text_col))
-    words = F.col(words_col)
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """rows (row, text) with words and the base counts of each text."""
+    out = rows.withColumn("words", words_of("text"))
+    words = F.col("words")
     starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
     window = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
     out = out.withColumn("window", F.when(F.size(words) > WINDOW, window))
@@ -98,13 +101,13 @@ def with_counts(docs: DataFrame, *, text_col: str = "text", words_col: str = "wo
     n = F.size("placed")
     twin = F.filter("placed", lambda p, k: ((k > 0) & (F.get("placed", k - 1)["w"] == p["w"])) | ((k < n - 1) & (F.get("placed", k + 1)["w"] == p["w"])))
     out = out.withColumn("twins", F.array_sort(F.transform(twin, lambda p: p["i"]))).drop("placed")
-    lines = F.filter(F.split(text_of(text_col), "\n"), lambda x: x.rlike(WORD))
+    lines = F.filter(F.split(text_of("text"), "\n"), lambda x: x.rlike(WORD))
     out = out.withColumn("lines", lines)
     return out.withColumns(
         {
             "n_words": F.size(words).cast("long"),
             "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
-            "n_symbols": F.regexp_count(text_of(text_col), F.lit(SYMBOLS)).cast("long"),
+            "n_symbols": F.regexp_count(text_of("text"), F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered(F.col("twins")), F.lit(0)).cast("long"),
         }
@@ -112,11 +115,13 @@ def with_counts(docs: DataFrame, *, text_col: str = "text", words_col: str = "wo
 
 
 def judge(docs: DataFrame, weights: list[float], *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the base counts, base_failed, the mean log ratio and kept."""
-    out = with_counts(docs, text_col=text_col)
+    """docs with the base counts, base_failed, the mean log ratio and kept;
+    these replace columns of the same names."""
+    out = counted(packed(docs, text_col))
     table = literal_array(weights)
     total = F.aggregate(buckets_of(F.col("words")), F.lit(0.0), lambda s, b: s + F.element_at(table, b + 1))
     grams = F.greatest(2 * F.size("words") - 1, F.lit(1))
     out = out.withColumn("ratio", total / grams).drop("words")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    return unpacked(out, docs.columns, [*COUNTS, "base_failed", "kept", "ratio"])

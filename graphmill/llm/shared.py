@@ -51,6 +51,24 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text): all columns of docs in one struct, so that no name of theirs
+    can clash with a working column."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+
+
+def unpacked(work: DataFrame, columns: list[str], out: list[str]) -> DataFrame:
+    """The columns packed() took, without those named in out, then out."""
+    return work.select(*[F.col(f"row.`{c}`").alias(c) for c in columns if c not in out], *out)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def text_of(column: str | Column) -> Column:
     """The text, null as empty."""
     column = F.col(column) if isinstance(column, str) else column

@@ -305,7 +305,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     order = F.struct(F.col(id_col).isNull().alias("nil"), F.col(id_col).alias("id"), key.alias("key"))
     found = near_duplicates(docs.select(order.alias("order"), F.col(text_col)), id_col="order", text_col=text_col, distance=distance)
     first = found.where("order = component_id").select(F.col("order.key").alias("first_key"), F.col("order.id").alias("first_id")).distinct()
-    row = F.struct(*[F.col(c) for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), key.alias("key"), F.col(id_col).alias("id"))
     kept = keyed.join(first, F.expr("key = first_key AND id <=> first_id"), "left_semi").dropDuplicates(["key", "id"])
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

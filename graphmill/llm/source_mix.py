@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.llm.shared import n_words, unit_hash, written
+from graphmill.llm.shared import fresh, n_words, unit_hash, written
 
 #: Rows of the per-source table up to which it is broadcast (about 60 bytes each).
 BROADCAST_ROWS = 100_000
@@ -65,11 +65,13 @@ def plan_mix(
     weights: Sequence[int] = (1, 2, 3),
     max_repeat: int = 3,
     seed: int = 42,
+    out_col: str = "mix",
 ) -> DataFrame:
-    """docs with one struct column ``mix`` (size, source_size, target, copies)."""
+    """docs with one struct column out_col (size, source_size, target, copies),
+    which replaces a column of that name."""
     size = n_words(text_col)
     per = written(source_targets(docs.select(F.col(source_col).alias("source"), size.alias("size")), weights, max_repeat), "mix")
-    row = F.struct(*[F.col(c) for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     full = docs.select(row.alias("row"), F.col(source_col).alias("source"), size.alias("size"), unit_hash(seed, F.col(id_col)).alias("draw"))
     if per.count() <= BROADCAST_ROWS:
         joined = full.alias("d").join(F.broadcast(per).alias("p"), F.expr("d.source <=> p.source"))
@@ -80,11 +82,12 @@ def plan_mix(
     whole = F.floor("rate")
     copies = (whole + F.when(F.col("draw") < F.col("rate") - whole, 1).otherwise(0)).cast("long")
     mix = F.struct(F.col("size"), F.col("source_size"), F.col("target"), copies.alias("copies"))
-    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], mix.alias("mix"))
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != out_col], mix.alias(out_col))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix takes it."""
-    planned = plan_mix(docs, **options)
-    taken = planned.where("mix.copies > 0")
-    return taken.withColumn("mix", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int")))).select(*docs.columns)
+    mix = fresh(docs, "mix")
+    planned = plan_mix(docs, out_col=mix, **options)
+    copies = F.array_repeat(F.lit(0), F.col(f"{mix}.copies").cast("int"))
+    return planned.withColumn(mix, F.explode(copies)).select(*docs.columns)
