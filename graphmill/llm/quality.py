@@ -42,13 +42,14 @@ def words_of(text: str | Column) -> Column:
     return F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0))
 
 
-def buckets_of(words: Column) -> Column:
-    """Bucket of every word and of every pair of neighbours."""
-    plain = F.transform(words, lambda w: F.xxhash64(F.lower(w)))
-    after = F.slice(plain, 2, F.greatest(F.size(plain) - 1, F.lit(0)))
-    pairs = F.filter(F.zip_with(plain, after, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), F.isnotnull)
-    both = F.concat(plain, pairs)
-    return F.transform(both, lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))
+def with_buckets(rows: DataFrame, words: Column) -> DataFrame:
+    """rows with buckets: that of every word and of every pair of neighbours.
+    The words' hashes are a column of their own, so they are computed once."""
+    out = rows.withColumn("plain", F.transform(words, lambda w: F.xxhash64(F.lower(w))))
+    after = F.slice("plain", 2, F.greatest(F.size("plain") - 1, F.lit(0)))
+    pairs = F.filter(F.zip_with("plain", after, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), F.isnotnull)
+    both = F.concat("plain", pairs)
+    return out.withColumn("buckets", F.transform(both, lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))).drop("plain")
 
 
 def bucket_counts(rows: DataFrame, name: str) -> DataFrame:
@@ -58,7 +59,8 @@ def bucket_counts(rows: DataFrame, name: str) -> DataFrame:
 
 def ratios(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_trusted: int = 20_000) -> list[float]:
     """log p(target) - log p(raw) of each bucket."""
-    hashed = docs.select(F.col(id_col).alias("doc_id"), buckets_of(words_of(text_col)).alias("buckets"))
+    words = docs.select(F.col(id_col).alias("doc_id"), words_of(text_col).alias("words"))
+    hashed = with_buckets(words, F.col("words")).select("doc_id", "buckets")
     raw = bucket_counts(hashed, "raw")
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).dropna().distinct()
     trusted = trusted.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(max_trusted)
@@ -96,11 +98,11 @@ def counted(rows: DataFrame) -> DataFrame:
     out = out.withColumn("again", F.coalesce(F.size(F.array_distinct("window")) < F.size("window"), F.lit(False))).drop("window")
     spelt = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, WINDOW)))
     out = out.withColumn("spelt", F.when(F.col("again"), spelt))
-    placed = F.array_sort(F.transform("spelt", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    placed = F.sort_array(F.transform("spelt", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     out = out.withColumn("placed", F.when(F.col("again"), placed)).drop("spelt", "again")
     n = F.size("placed")
     twin = F.filter("placed", lambda p, k: ((k > 0) & (F.get("placed", k - 1)["w"] == p["w"])) | ((k < n - 1) & (F.get("placed", k + 1)["w"] == p["w"])))
-    out = out.withColumn("twins", F.array_sort(F.transform(twin, lambda p: p["i"]))).drop("placed")
+    out = out.withColumn("twins", F.sort_array(F.transform(twin, lambda p: p["i"]))).drop("placed")
     lines = F.filter(F.split(text_of("text"), "\n"), lambda x: x.rlike(WORD))
     out = out.withColumn("lines", lines)
     return out.withColumns(
@@ -117,11 +119,11 @@ def counted(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, weights: list[float], *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with the base counts, base_failed, the mean log ratio and kept;
     these replace columns of the same names."""
-    out = counted(packed(docs, text_col))
+    out = with_buckets(counted(packed(docs, text_col)), F.col("words"))
     table = literal_array(weights)
-    total = F.aggregate(buckets_of(F.col("words")), F.lit(0.0), lambda s, b: s + F.element_at(table, b + 1))
+    total = F.aggregate("buckets", F.lit(0.0), lambda s, b: s + F.element_at(table, b + 1))
     grams = F.greatest(2 * F.size("words") - 1, F.lit(1))
-    out = out.withColumn("ratio", total / grams).drop("words")
+    out = out.withColumn("ratio", total / grams).drop("words", "buckets")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
     return unpacked(out, docs.columns, [*COUNTS, "base_failed", "kept", "ratio"])
