@@ -51,7 +51,7 @@ NODE = (1 << SHIFT) - 1
 START = NODE
 NEVER = 1 << 62
 #: Bounds of what one task remembers: determinised sets, pairs, pieces.
-STATES, PAIRS, PIECES = 100_000, 300_000, 300_000
+STATES, PAIRS, PIECES = 80_000, 250_000, 200_000
 BLOCK = 1 << 12
 
 

@@ -43,7 +43,7 @@ DISCOUNT = 0.75
 START, END = "^", "$"
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words whose ratio a task remembers at once.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,7 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 4000,
-    max_ngrams: int = 400_000,
+    max_ngrams: int = 250_000,
 ) -> Model:
     """Language models from folds 0 and 3, the score's curve from fold 1."""
     spark = docs.sparkSession
