@@ -583,3 +583,74 @@ def embedding_dot(spark, d):
     a = T.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
     return a.join(b, "vec_id").select("vec_id", (F.round(dot(F.col("a"), F.col("b")), 6) + 0.0).alias("value"))
+
+
+# Whole stages
+
+
+@query(f"WITH {SPLIT}, {EXTERNAL} SELECT relation, src AS x_index, dst AS y_index, 1 AS label FROM val UNION ALL SELECT relation, src, dst, 0 FROM cand")
+def labelled_union(spark, d):
+    other = candidates(spark, d).select("relation", F.col("src").alias("x_index"), F.col("dst").alias("y_index"), F.lit(0).alias("label"))
+    return S.labelled(part(spark, d, "val"), other)
+
+
+@query(f"""WITH {SPLIT}, ids AS (SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS rel_id FROM (SELECT DISTINCT relation FROM dedup))
+SELECT src, dst, rel_id FROM train JOIN ids USING (relation)""")
+def encode_messages(spark, d):
+    both = {name: S.labelled(part(spark, d, name), part(spark, d, name).limit(0).selectExpr("relation", "src AS x_index", "dst AS y_index", "0 AS label")) for name in ("train", "val")}
+    return G.encode(T.nodes(spark, d), **both)["messages"]
+
+
+@query(f"WITH {MAPPING} SELECT count(*) FILTER (x_index IS NULL) AS x_index, count(*) FILTER (y_index IS NULL) AS y_index, count(*) FILTER (DrugID IS NULL) AS DrugID FROM mapped")
+def null_counts(spark, d):
+    return R.null_counts(mapped(spark, d), ["x_index", "y_index", "DrugID"])
+
+
+SMALL = f"""{MESSAGES}, {CELLS},
+vec AS (SELECT s_suppkey + 10000000 AS node, pos, v FROM supplier JOIN cells ON vec_id = s_suppkey % 50 WHERE pos <= 4
+  UNION ALL SELECT p_partkey, pos, v FROM part JOIN cells ON vec_id = p_partkey % 50 WHERE pos <= 4)"""
+
+
+def small_vectors(spark, d):
+    """The first four places of a vector for every drug and disease."""
+    vectors = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("vector"))
+    nodes = T.nodes(spark, d).where("node_type <> 'other'")
+    return nodes.join(vectors, F.col("node_id").cast("long") % 50 == F.col("v")).select(F.col("node_index").alias("node"), "vector")
+
+
+def cells_of(vectors):
+    return vectors.select("node", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 6) + 0.0)
+
+
+def diagonal(x):
+    return [[x if i == j else 0.0 for j in range(4)] for i in range(4)]
+
+
+@query(f"""WITH {SMALL}, means AS (SELECT dst, rel_id, pos, avg(v) AS m FROM msg JOIN vec ON node = src GROUP BY ALL),
+turned AS (SELECT dst AS node, CASE WHEN rel_id = ascii('N') THEN 5 - pos ELSE pos END AS pos, CASE WHEN rel_id = ascii('A') THEN 2 * m WHEN rel_id = ascii('N') THEN m ELSE -m END AS m FROM means),
+added AS (SELECT node, pos, sum(m) AS a FROM turned GROUP BY ALL)
+SELECT node, (pos - 1)::INTEGER AS pos, round(greatest(0.5 * v + 0.1 + coalesce(a, 0), 0.0), 6) + 0.0 AS value FROM vec LEFT JOIN added USING (node, pos)""")
+def relational_encoder(spark, d):
+    back = [[1.0 if i + j == 3 else 0.0 for j in range(4)] for i in range(4)]
+    weights = {ord("A"): diagonal(2.0), ord("N"): back, ord("R"): diagonal(-1.0)}
+    return cells_of(G.relational_layer(messages(spark, d), small_vectors(spark, d), diagonal(0.5), weights, [0.1] * 4))
+
+
+@query(f"""WITH {SMALL}, scored AS (SELECT src, dst, rel_id, sum(a.v * b.v) / 2 AS score FROM msg JOIN vec a ON a.node = src JOIN vec b ON b.node = dst AND b.pos = a.pos GROUP BY ALL),
+weighed AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY dst) AS w FROM scored),
+added AS (SELECT dst AS node, pos, sum(w * v) AS a FROM weighed JOIN vec ON node = src GROUP BY ALL)
+SELECT node, (pos - 1)::INTEGER AS pos, round(v + greatest(coalesce(a, 0), 0.0), 6) + 0.0 AS value FROM vec LEFT JOIN added USING (node, pos)""")
+def typed_attention_encoder(spark, d):
+    unit = {r: diagonal(1.0) for r in map(ord, "ANR")}
+    return cells_of(G.typed_attention(messages(spark, d), small_vectors(spark, d), unit, unit, diagonal(1.0), dict.fromkeys(unit, 1.0)))
+
+
+@query(f"""WITH {SMALL}, raw AS (SELECT src, dst, rel_id, sum(a.v - b.v) AS s FROM msg JOIN vec a ON a.node = src JOIN vec b ON b.node = dst AND b.pos = a.pos GROUP BY ALL),
+weighed AS (SELECT *, exp(CASE WHEN s > 0 THEN s ELSE 0.2 * s END) / sum(exp(CASE WHEN s > 0 THEN s ELSE 0.2 * s END)) OVER (PARTITION BY dst, rel_id) AS w FROM raw),
+by_rel AS (SELECT dst, rel_id, pos, sum(w * v) AS z FROM weighed JOIN vec ON node = src GROUP BY ALL),
+sem AS (SELECT rel_id, avg(t) AS s FROM (SELECT dst, rel_id, sum(tanh(z)) AS t FROM by_rel GROUP BY ALL) GROUP BY rel_id),
+beta AS (SELECT rel_id, exp(s) / sum(exp(s)) OVER () AS beta FROM sem),
+mixed AS (SELECT dst AS node, pos, sum(beta * z) AS m FROM by_rel JOIN beta USING (rel_id) GROUP BY ALL)
+SELECT node, (pos - 1)::INTEGER AS pos, round(CASE WHEN m IS NULL THEN v ELSE greatest(m, 0.0) END, 6) + 0.0 AS value FROM vec LEFT JOIN mixed USING (node, pos)""")
+def heterogeneous_encoder(spark, d):
+    return cells_of(G.heterogeneous_attention(messages(spark, d), small_vectors(spark, d), [1.0] * 4, [-1.0] * 4, [1.0] * 4, diagonal(1.0), [0.0] * 4))
