@@ -1,6 +1,6 @@
 """Quality rules: hashed n-gram log-likelihood ratios, and base counts per text.
 
-Words and word pairs are hashed into BUCKETS buckets. Two multinomials over the
+N-grams of words are hashed into BUCKETS buckets. Two multinomials over the
 buckets are counted: of the raw corpus (all documents) and of a trusted target
 (documents whose label says quality 1, a bounded sample of at most max_trusted
 of them, chosen by hash). A document's score is the mean over its n-grams of
@@ -10,8 +10,7 @@ log p(target) - log p(raw); a document passes where the score is at least
 Everything is DataFrame operations. The corpus counts are one map-side combined
 aggregation into BUCKETS rows; the ratios (BUCKETS rows, a fixed bound) become
 an array literal, so scoring is a projection of each row and moves no text.
-Counting repeated windows compares 64-bit hashes first and the windows' words
-themselves only in texts where hashes repeat.
+Windows of words are told apart by 64-bit hashes, built by doubling widths.
 
 Defined results: null text has no words, all counts 0, score 0.0, base_failed;
 without trusted documents every ratio is 0 and all pass the ratio rule; null or
@@ -29,6 +28,9 @@ from pyspark.sql import functions as F
 from graphmill.llm.shared import WORD, packed, text_of, unpacked
 
 BUCKETS = 1 << 16
+#: Longest n-gram in the multinomials, 1 or 2. Pairs double the cost of the
+#: counts and, in texts with this many different words, told nothing more.
+NGRAM = 1
 #: Pseudo-count of every bucket in both multinomials.
 SMOOTH = 1.0
 THRESHOLD = -0.15
@@ -42,14 +44,24 @@ def words_of(text: str | Column) -> Column:
     return F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0))
 
 
-def with_buckets(rows: DataFrame, words: Column) -> DataFrame:
-    """rows with buckets: that of every word and of every pair of neighbours.
-    The words' hashes are a column of their own, so they are computed once."""
-    out = rows.withColumn("plain", F.transform(words, lambda w: F.xxhash64(F.lower(w))))
-    after = F.slice("plain", 2, F.greatest(F.size("plain") - 1, F.lit(0)))
-    pairs = F.filter(F.zip_with("plain", after, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), F.isnotnull)
-    both = F.concat("plain", pairs)
-    return out.withColumn("buckets", F.transform(both, lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))).drop("plain")
+def joined_hashes(hashes: str, step: int) -> Column:
+    """The hash of each element with the one step places on, where there is one."""
+    after = F.slice(hashes, step + 1, F.greatest(F.size(hashes) - step, F.lit(0)))
+    both = F.zip_with(F.slice(hashes, 1, F.size(after)), after, lambda a, b: F.xxhash64(a, b))
+    return both
+
+
+def with_hashes(rows: DataFrame) -> DataFrame:
+    """rows (with words) with plain and pairs: the hash of every word and of
+    every pair of neighbours. Columns of their own, so each is computed once."""
+    out = rows.withColumn("plain", F.transform("words", lambda w: F.xxhash64(w)))
+    return out.withColumn("pairs", joined_hashes("plain", 1))
+
+
+def buckets_of(n: int = NGRAM) -> Column:
+    """The bucket of every n-gram of up to n (1 or 2) words."""
+    hashes = F.concat("plain", "pairs") if n == 2 else F.col("plain")
+    return F.transform(hashes, lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))
 
 
 def bucket_counts(rows: DataFrame, name: str) -> DataFrame:
@@ -60,7 +72,7 @@ def bucket_counts(rows: DataFrame, name: str) -> DataFrame:
 def ratios(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_trusted: int = 20_000) -> list[float]:
     """log p(target) - log p(raw) of each bucket."""
     words = docs.select(F.col(id_col).alias("doc_id"), words_of(text_col).alias("words"))
-    hashed = with_buckets(words, F.col("words")).select("doc_id", "buckets")
+    hashed = with_hashes(words).select("doc_id", buckets_of().alias("buckets"))
     raw = bucket_counts(hashed, "raw")
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).dropna().distinct()
     trusted = trusted.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(max_trusted)
@@ -88,18 +100,14 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """rows (row, text) with words and the base counts of each text."""
-    out = rows.withColumn("words", words_of("text"))
+    """rows (row, text) with words, plain, pairs and the base counts of each text."""
+    out = with_hashes(rows.withColumn("words", words_of("text")))
     words = F.col("words")
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    window = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    out = out.withColumn("window", F.when(F.size(words) > WINDOW, window))
-    # Only where hashes repeat are the windows' own words looked at.
-    out = out.withColumn("again", F.coalesce(F.size(F.array_distinct("window")) < F.size("window"), F.lit(False))).drop("window")
-    spelt = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, WINDOW)))
-    out = out.withColumn("spelt", F.when(F.col("again"), spelt))
-    placed = F.sort_array(F.transform("spelt", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    out = out.withColumn("placed", F.when(F.col("again"), placed)).drop("spelt", "again")
+    # Windows of 2, 4, 8 words: each hash joins two of half its width.
+    out = out.withColumn("window", joined_hashes("pairs", 2)).withColumn("window", joined_hashes("window", 4))
+    again = F.size(F.array_distinct("window")) < F.size("window")
+    placed = F.sort_array(F.transform("window", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    out = out.withColumn("placed", F.when(again, placed)).drop("window")
     n = F.size("placed")
     twin = F.filter("placed", lambda p, k: ((k > 0) & (F.get("placed", k - 1)["w"] == p["w"])) | ((k < n - 1) & (F.get("placed", k + 1)["w"] == p["w"])))
     out = out.withColumn("twins", F.sort_array(F.transform(twin, lambda p: p["i"]))).drop("placed")
@@ -119,11 +127,11 @@ def counted(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, weights: list[float], *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with the base counts, base_failed, the mean log ratio and kept;
     these replace columns of the same names."""
-    out = with_buckets(counted(packed(docs, text_col)), F.col("words"))
+    out = counted(packed(docs, text_col))
     table = literal_array(weights)
-    total = F.aggregate("buckets", F.lit(0.0), lambda s, b: s + F.element_at(table, b + 1))
-    grams = F.greatest(2 * F.size("words") - 1, F.lit(1))
-    out = out.withColumn("ratio", total / grams).drop("words", "buckets")
+    n_grams = F.size("plain") + (F.size("pairs") if NGRAM == 2 else 0)
+    total = F.aggregate(buckets_of(), F.lit(0.0), lambda s, b: s + F.element_at(table, b + 1))
+    out = out.withColumn("ratio", total / F.greatest(n_grams, F.lit(1))).drop("words", "plain", "pairs")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
     return unpacked(out, docs.columns, [*COUNTS, "base_failed", "kept", "ratio"])

@@ -268,9 +268,8 @@ def test_quality_ratio_against_plain_counts(spark, sf):
         return v
 
     def grams(text):
-        hashes = [h(w.lower().encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
-        pairs = [h(b.to_bytes(8, "little"), h(a.to_bytes(8, "little"))) for a, b in zip(hashes, hashes[1:])]
-        return [x % quality.BUCKETS for x in hashes + pairs]
+        hashes = [h(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        return [x % quality.BUCKETS for x in hashes]
 
     con = connect(sf)
     docs = con.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
