@@ -547,7 +547,7 @@ def semantic_attention(spark, d):
 
 @query(f"""WITH p AS (SELECT lang AS dataset, (n_chars % 100) / 100.0::DOUBLE AS y_score, quality AS y_true FROM documents JOIN labels USING (doc_id)),
 r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY y_score) + (count(*) OVER (PARTITION BY dataset, y_score) - 1) / 2.0::DOUBLE AS rk FROM p)
-SELECT 'rules' AS model, dataset, round((sum(rk) FILTER (y_true = 1) - count(*) FILTER (y_true = 1) * (count(*) FILTER (y_true = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y_true = 1) * count(*) FILTER (y_true = 0))::DOUBLE, 9) AS auc,
+SELECT 'rules' AS model, dataset, round((sum(rk) FILTER (y_true = 1) - count(*) FILTER (y_true = 1) * (count(*) FILTER (y_true = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (y_true = 1) * count(*) FILTER (y_true = 0), 0)::DOUBLE, 9) AS auc,
   round(count(*) FILTER ((y_score >= 0.5) = (y_true = 1)) / count(*)::DOUBLE, 9) AS accuracy FROM r WHERE dataset IN ('de', 'en', 'es', 'fr') GROUP BY dataset""")
 def model_summary_sorted(spark, d):
     rows = T.table(spark, d, "documents").select("doc_id", "n_chars", "lang").join(T.table(spark, d, "labels"), "doc_id")
