@@ -1,6 +1,6 @@
 """Quality rules: hashed n-gram log-likelihood ratios, and base counts per text.
 
-N-grams of words are hashed into BUCKETS buckets. Two multinomials over the
+Words and word pairs, lower-cased, are hashed into BUCKETS buckets. Two multinomials over the
 buckets are counted: of the raw corpus (all documents) and of a trusted target
 (documents whose label says quality 1, a bounded sample of at most max_trusted
 of them, chosen by hash). A document's score is the mean over its n-grams of
@@ -10,7 +10,8 @@ log p(target) - log p(raw); a document passes where the score is at least
 Everything is DataFrame operations. The corpus counts are one map-side combined
 aggregation into BUCKETS rows; the ratios (BUCKETS rows, a fixed bound) become
 an array literal, so scoring is a projection of each row and moves no text.
-Windows of words are told apart by 64-bit hashes, built by doubling widths.
+Windows of words are told apart by 64-bit hashes, built by doubling widths: of
+lower-cased words first, and of the words as they are where those repeat.
 
 Defined results: null text has no words, all counts 0, score 0.0, base_failed;
 without trusted documents every ratio is 0 and all pass the ratio rule; null or
@@ -28,9 +29,6 @@ from pyspark.sql import functions as F
 from graphmill.llm.shared import WORD, packed, text_of, unpacked
 
 BUCKETS = 1 << 16
-#: Longest n-gram in the multinomials, 1 or 2. Pairs double the cost of the
-#: counts and, in texts with this many different words, told nothing more.
-NGRAM = 1
 #: Pseudo-count of every bucket in both multinomials.
 SMOOTH = 1.0
 THRESHOLD = -0.15
@@ -52,16 +50,15 @@ def joined_hashes(hashes: str, step: int) -> Column:
 
 
 def with_hashes(rows: DataFrame) -> DataFrame:
-    """rows (with words) with plain and pairs: the hash of every word and of
-    every pair of neighbours. Columns of their own, so each is computed once."""
-    out = rows.withColumn("plain", F.transform("words", lambda w: F.xxhash64(w)))
+    """rows (with words) with plain and pairs: the hash of every lower-cased word and
+    of every pair of neighbours. Columns of their own, so each is computed once."""
+    out = rows.withColumn("plain", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
     return out.withColumn("pairs", joined_hashes("plain", 1))
 
 
-def buckets_of(n: int = NGRAM) -> Column:
-    """The bucket of every n-gram of up to n (1 or 2) words."""
-    hashes = F.concat("plain", "pairs") if n == 2 else F.col("plain")
-    return F.transform(hashes, lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))
+def buckets_of() -> Column:
+    """The bucket of every word and of every pair."""
+    return F.transform(F.concat("plain", "pairs"), lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))
 
 
 def bucket_counts(rows: DataFrame, name: str) -> DataFrame:
@@ -106,8 +103,11 @@ def counted(rows: DataFrame) -> DataFrame:
     # Windows of 2, 4, 8 words: each hash joins two of half its width.
     out = out.withColumn("window", joined_hashes("pairs", 2)).withColumn("window", joined_hashes("window", 4))
     again = F.size(F.array_distinct("window")) < F.size("window")
-    placed = F.sort_array(F.transform("window", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    out = out.withColumn("placed", F.when(again, placed)).drop("window")
+    out = out.withColumn("exact", F.when(again, F.transform(words, lambda w: F.xxhash64(w)))).drop("window")
+    for step in (1, 2, 4):
+        out = out.withColumn("exact", joined_hashes("exact", step))
+    placed = F.sort_array(F.transform("exact", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    out = out.withColumn("placed", placed).drop("exact")
     n = F.size("placed")
     twin = F.filter("placed", lambda p, k: ((k > 0) & (F.get("placed", k - 1)["w"] == p["w"])) | ((k < n - 1) & (F.get("placed", k + 1)["w"] == p["w"])))
     out = out.withColumn("twins", F.sort_array(F.transform(twin, lambda p: p["i"]))).drop("placed")
@@ -129,7 +129,7 @@ def judge(docs: DataFrame, weights: list[float], *, text_col: str = "text", thre
     these replace columns of the same names."""
     out = counted(packed(docs, text_col))
     table = literal_array(weights)
-    n_grams = F.size("plain") + (F.size("pairs") if NGRAM == 2 else 0)
+    n_grams = F.size("plain") + F.size("pairs")
     total = F.aggregate(buckets_of(), F.lit(0.0), lambda s, b: s + F.element_at(table, b + 1))
     out = out.withColumn("ratio", total / F.greatest(n_grams, F.lit(1))).drop("words", "plain", "pairs")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

@@ -291,6 +291,30 @@ def test_quality_ratio_against_plain_counts(spark, sf):
     assert all(r.kept == (not r.base_failed and r.ratio >= quality.THRESHOLD) for r in found)
 
 
+def test_quality_ratio_of_lower_cased_words_and_pairs(spark):
+    import math
+
+    import xxhash
+
+    def grams(text):
+        hashes = [xxhash.xxh64_intdigest(w.lower().encode(), 42) for w in text.split()]
+        pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(hashes, hashes[1:])]
+        return [x % quality.BUCKETS for x in hashes + pairs]
+
+    eight = "one two three four five six seven eight"
+    texts = {1: "The red fox sees the dog", 2: "the dog sees THE red Fox", 3: "ÉTÉ", 4: "", 5: f"{eight} {eight.upper()}", 6: f"{eight} {eight}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    raw, target = Counter(b for t in texts.values() for b in grams(t)), Counter(grams(texts[1]))
+    n = [sum(c.values()) + quality.SMOOTH * quality.BUCKETS for c in (raw, target)]
+    found = {r.doc_id: r for r in quality.judge(docs, quality.ratios(docs, labels)).collect()}
+    for i, t in texts.items():
+        want = sum(math.log((target[b] + 1) / n[1]) - math.log((raw[b] + 1) / n[0]) for b in grams(t)) / max(1, len(grams(t)))
+        assert math.isclose(found[i].ratio, want, abs_tol=1e-9)
+    assert found[1].ratio > found[2].ratio + 1e-6  # the same words, other pairs
+    assert (found[5].n_repeat_words, found[6].n_repeat_words) == (0, 16)
+
+
 def test_license(spark, wide, tmp_path):
     found = license_scan.with_license(wide)
     assert found.where("row <> 'own row'").isEmpty() and found.count() == len(TEXTS)
