@@ -10,11 +10,10 @@ window of WINDOW words and any single word. A logistic curve fitted on
 labelled rows that the language models have not seen turns them into a score.
 
 Fitting uses bounded samples of labelled rows, chosen by hash: at most
-max_rows rows of each class for the counts, and as many for the curve; of the
-n-grams the max_ngrams most frequent ones are kept. Scoring reads every whole
-text of the table. Counting n-grams is a Spark aggregation (words first, then
-n-grams of distinct words); the finished model is a table of at most
-2 * max_ngrams numbers, which is what is broadcast.
+max_rows rows of each class for the counts, and as many for the curve; all their
+n-grams count. Scoring reads every whole text of the table. Counting n-grams is
+a Spark aggregation (words first, then n-grams of distinct words); the finished
+model, which is broadcast, holds 16 bytes for each n-gram and each context.
 
 Fitting and scoring never read lang, source or the held-out labels
 (crc32(doc_id) mod 4 = 2). Defined results: null or wordless text has
@@ -32,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +46,33 @@ WORDS = re.compile(r"[^\W\d_]+")
 REMEMBERED = 150_000
 
 
+class Table:
+    """n-gram -> number, as sorted 64-bit hashes of the n-grams."""
+
+    def __init__(self, numbers: dict[str, float]):
+        keys = np.fromiter((xxhash.xxh64_intdigest(g.encode()) for g in numbers), np.uint64, len(numbers))
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.fromiter(numbers.values(), np.float64, len(numbers))[order]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Table) and np.array_equal(self.keys, other.keys) and np.array_equal(self.values, other.values)
+
+    def get(self, gram: str, default: float | None = None) -> float | None:
+        key = np.uint64(xxhash.xxh64_intdigest(gram.encode()))
+        at = int(self.keys.searchsorted(key))
+        return float(self.values[at]) if at < len(self.keys) and self.keys[at] == key else default
+
+
 @dataclass(frozen=True)
 class Model:
     """seen: n-gram -> log ratio; unseen: context -> log ratio of the weights
     given to the shared counts; the curve's mean, scale, weights and bias."""
 
-    seen: dict[str, float]
-    unseen: dict[str, float]
+    seen: dict[str, float] | Table
+    unseen: dict[str, float] | Table
     centre: tuple[float, ...] = (0.0, 0.0, 0.0)
     scale: tuple[float, ...] = (1.0, 1.0, 1.0)
     weights: tuple[float, ...] = (0.0, 0.0, 0.0)
@@ -74,17 +94,16 @@ def sampled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...], max_rows
     return docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
-def ngram_counts(sample: DataFrame, max_ngrams: int) -> DataFrame:
-    """(gram, ordinary, toxic) of the most frequent n-grams. A gram is a
-    character with up to ORDER - 1 before it in its word."""
+def ngram_counts(sample: DataFrame) -> DataFrame:
+    """(gram, ordinary, toxic) of all n-grams. A gram is a character with up to
+    ORDER - 1 before it in its word."""
     words = sample.select("toxic", F.explode(F.regexp_extract_all(F.lower(text_of("text")), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     words = words.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic"))
     padded = F.concat(F.lit(START), "word", F.lit(END))
     ends = F.sequence(F.lit(2), F.char_length(padded))
     gram = F.transform(ends, lambda e: F.substring(padded, F.greatest(e - (ORDER - 1), F.lit(1)), F.least(e, F.lit(ORDER))))
     grams = words.select(F.explode(gram).alias("gram"), "ordinary", "toxic")
-    grams = grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    return grams.orderBy((F.col("ordinary") + F.col("toxic")).desc(), "gram").limit(max_ngrams)
+    return grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def ratio_tables(counts: dict[str, tuple[int, int]]) -> tuple[dict[str, float], dict[str, float]]:
@@ -97,6 +116,7 @@ def ratio_tables(counts: dict[str, tuple[int, int]]) -> tuple[dict[str, float],
         for gram in by_length.get(length, ()):
             kinds[gram[1:]] = kinds.get(gram[1:], 0) + 1
             by_length.setdefault(length - 1, set()).add(gram[1:])
+        by_length.pop(length, None)
     total: dict[str, int] = {}
     spread: dict[str, int] = {}
     for gram, n in kinds.items():
@@ -196,17 +216,17 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 4000,
-    max_ngrams: int = 250_000,
 ) -> Model:
     """Language models from folds 0 and 3, the score's curve from fold 1."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     labels = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col))
-    counts = ngram_counts(sampled(docs, labels, (0, 3), max_rows, label_col), max_ngrams).toArrow()
+    counts = ngram_counts(sampled(docs, labels, (0, 3), max_rows, label_col)).toArrow()
     table = {g: (o, t) for g, o, t in zip(*(counts.column(c).to_pylist() for c in ("gram", "ordinary", "toxic")), strict=True)}
     if not all(any(pair[c] for pair in table.values()) for c in (0, 1)):
         return Model({}, {})
-    model = Model(*ratio_tables(table))
+    model = Model(*map(Table, ratio_tables(table)))
+    del counts, table
     shared = spark.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

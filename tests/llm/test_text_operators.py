@@ -125,6 +125,23 @@ def test_toxicity_learns_and_spares_held_out_labels(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == r.f for r in df.select("doc_id", toxicity.fold(F.col("doc_id")).alias("f")).collect())
 
 
+def test_toxicity_counts_every_ngram(spark):
+    rng = np.random.default_rng(4)
+    letters = rng.choice(list("abcdefghijklmnopqrstuvwxyzéß"), (90_000, 10))
+    words = ["".join(w) for w in letters]
+    rows = [(i, " ".join(words[300 * i : 300 * i + 300]), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grams = set()
+    for i, t, _ in rows:
+        if zlib.crc32(str(i).encode()) % 4 in (0, 3):
+            for w in t.split():
+                padded = f"^{w}$"
+                grams |= {padded[max(0, e - toxicity.ORDER) : e] for e in range(2, len(padded) + 1)}
+    model = toxicity.fit(df, df)
+    missing = [g for g in grams if model.seen.get(g) is None]
+    assert len(grams) > 250_000 and len(model.seen) == len(grams) and not missing
+
+
 def plain_components(rows):
     prints = [(i, plain_fingerprint(t)) for i, t in rows]
     codes = sorted({p for _, p in prints})
