@@ -1,22 +1,27 @@
 """Secret scans by assignment-aware lexing.
 
 Three base patterns find assigned secrets, access key ids and long hexadecimal
-runs. Beside them, the text is lexed as source or configuration: at every
-separator (= : := =>) a name and a literal or another name are read around it,
-also in quotes, as a property of an object, as an option or as an element of a
-markup file. Names that were given a literal stand for it from there on, so a
-literal reaches the sensitive name it is assigned to through any chain of
-constants. A literal's score is the weight of the most sensitive target name it
-reaches, times its strength (bits of character entropy, up to FULL_BITS).
-Literals that score THRESHOLD or more and lie in no base span are reported as
-kind "literal".
-
-All work is per document and whole text, inside Arrow batches; no shuffle.
+runs. Beside them, the text is lexed as source or configuration into names,
+strings, separators (= : := =>), marks and bare runs, and parsed into pairs of a
+name and a value: in quotes (single, double, back or triple), joined by + or by
+standing side by side, in brackets, as an argument of a call (of a lookup: its
+default), after a type annotation, as a property or an index of an object, as an
+option or as an element of a markup file. Strings are lexed inside as well. Names
+that were given a literal stand for it from there on, so a literal reaches the
+sensitive name it is assigned to through any chain of constants; a name that
+stands for nothing known is no literal. A literal's score is the weight of the
+most sensitive target name it reaches, times its strength (bits of character
+entropy, up to FULL_BITS). Literals that score THRESHOLD or more are reported as
+kind "literal", also where a base span holds them: its own span is the value's.
+
+All work is per document and whole text, inside Arrow batches; no shuffle. Time
+is linear in the text: a run is measured once, look-ahead is at most REACH tokens.
 Names are at most MAX_NAME characters.
 
 Defined results: null text is empty and has no spans; spans are in order of
 start, then kind as in KINDS; positions are code points, ends exclusive;
-repeated rows get equal spans. Only the named column is read.
+repeated rows get equal spans. Only the named column is read; a column named as
+the output is replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,18 +44,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
-MAX_NAME = 128
-SEPARATOR = re.compile(r":=|=>|[:=](?![:=])")
-NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w.$-]*)["'`\]]?[ \t]*$""", re.ASCII)
-VALUE = re.compile(r"""[ \t]*(?:(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([A-Za-z_$][\w.$]*)(?![^\s;,)}\]])|([^\s"'`,;(){}\[\]<>]+))""", re.ASCII)
-ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]+)</\1>", re.ASCII)
-OPTION = re.compile(r"(?<!\S)--?([A-Za-z][\w-]*)[ \t]+([^\s\"'-][^\s\"']*)", re.ASCII)
+MAX_NAME, REACH = 128, 64
+TOKEN = re.compile(
+    r"""(?P<triple>\"{3}|'{3})|(?P<string>"[^"\\\n]*(?:\\.[^"\\\n]*)*"|(?<!\w)'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\\n]*(?:\\.[^`\\\n]*)*`)"""
+    r"""|(?P<other>[=!<>]=)|(?P<sep>:=|=>|[:=])|(?P<name>[A-Za-z_$][\w$]*(?:[.-][\w$]+)*)|(?P<mark>[\n,;(){}\[\]+|?])|(?P<bare>[^\s"'`=:,;(){}\[\]+|?]+)""",
+    re.ASCII,
+)
+RUN = re.compile(r"""[^\s"'`,;(){}\[\]<>&?]*""")
+NAME = re.compile(r"[A-Za-z_$][\w$]*(?:[.-][\w$]+)*", re.ASCII)
+ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,127})>([^<>\n]+)</\1>", re.ASCII)
+OPTION = re.compile(r"(?<!\S)--?([A-Za-z][\w-]{0,127})[ \t]+([^\s\"'-][^\s\"']*)", re.ASCII)
 NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 # How sensitive a name is by the words in it, pairs first.
 PAIR_WEIGHTS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("signing", "key"): 1.0, ("encryption", "key"): 1.0, ("secret", "key"): 1.0, ("client", "secret"): 1.0, ("pass", "phrase"): 1.0, ("pass", "word"): 1.0, ("connection", "string"): 0.8}
 WORD_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "secrets": 1.0, "token": 1.0, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "auth": 0.7, "authorization": 0.8, "webhook": 0.6, "salt": 0.6, "key": 0.4}
 PLACEHOLDERS = {"changeme", "change_me", "example", "placeholder", "password", "secret", "redacted", "undefined", "null", "none", "true", "false", "your_password", "your_api_key"}
+#: Calls whose first argument names what is looked up, marks of a literal's kind, and schemes before a credential.
+LOOKUPS = {"getenv", "get", "env", "getproperty", "lookup", "fetch", "environ", "config", "pop", "getattr", "setdefault"}
+PREFIXES = {"b", "f", "r", "u", "br", "rb", "fr", "rf"}
+SCHEMES = {"bearer", "basic"}
 THRESHOLD = 0.6
 FULL_BITS = 45.0
 LEAST = 8
@@ -66,6 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+@lru_cache(1 << 14)
 def name_weight(name: str) -> float:
     words = [w.lower() for w in NAME_WORD.findall(name)]
     pairs = max((PAIR_WEIGHTS.get(p, 0.0) for p in zip(words, words[1:], strict=False)), default=0.0)
@@ -83,47 +98,178 @@ def strength(literal: str) -> float:
     return min(1.0, bits / FULL_BITS) * (1.0 if varied > 1 else 0.5)
 
 
-def assignments(text: str) -> Iterator[tuple[str, int, int, str | None]]:
-    """(name, start, end, None) of a literal and (name, 0, 0, other) where
-    another name is assigned, in order of the text."""
-    found = []
-    for sep in SEPARATOR.finditer(text):
-        name = NAME_BEFORE.search(text, max(0, sep.start() - MAX_NAME), sep.start())
-        value = VALUE.match(text, sep.end()) if name else None
-        if value is None:
-            continue
-        if value[1]:
-            found.append((sep.start(), name[1], *value.span(2), None))
-        elif value[3]:
-            found.append((sep.start(), name[1], *value.span(3), value[3]))
+Token = tuple[str, int, int]
+Span = tuple[int, int]
+
+
+def tokens_of(text: str, lo: int, hi: int) -> list[Token]:
+    """(kind, start, end); of strings, start and end of what is inside."""
+    out: list[Token] = []
+    unclosed: set[str] = set()
+    at = lo
+    while found := TOKEN.search(text, at, hi):
+        kind, start, end = found.lastgroup or "", found.start(), found.end()
+        at = end
+        if kind == "triple":
+            mark = found[0]
+            close = -1 if mark in unclosed else text.find(mark, end, hi)
+            if close < 0:
+                unclosed.add(mark)
+                continue
+            out.append(("string", end, close))
+            at = close + 3
+        elif kind == "string":
+            out.append((kind, start + 1, end - 1))
         else:
-            found.append((sep.start(), name[1], *value.span(4), None))
-    if "</" in text:
-        found += [(m.start(), m[1], *m.span(2), None) for m in ELEMENT.finditer(text)]
-    if "--" in text:
-        found += [(m.start(), m[1], *m.span(2), None) for m in OPTION.finditer(text)]
-    return (x[1:] for x in sorted(found, key=lambda x: x[0]))
-
-
-def literal_spans(text: str) -> list[tuple[int, int]]:
+            out.append((kind, start, end))
+    return out
+
+
+def random_looking(word: str) -> bool:
+    """Whether what could be a name changes between letters and digits too often for one."""
+    kinds = ["d" if c.isdigit() else "l" for c in word if c.isalnum()]
+    return "." not in word and sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= 3
+
+
+class Parser:
+    """The assignments in a stretch of text: (name, parts of a literal or another name)."""
+
+    def __init__(self, text: str, lo: int, hi: int):
+        self.text, self.tokens, self.run_end = text, tokens_of(text, lo, hi), -1
+
+    def word(self, i: int) -> str:
+        return self.text[self.tokens[i][1] : self.tokens[i][2]]
+
+    def kind(self, i: int) -> str:
+        return self.tokens[i][0] if 0 <= i < len(self.tokens) else ""
+
+    def is_mark(self, i: int, marks: str) -> bool:
+        return self.kind(i) == "mark" and self.word(i) in marks
+
+    def targets(self, i: int) -> list[str]:
+        """The names that the separator at i may assign to: the one before it, and
+        in `name: type = value` the one before the type."""
+        j = i - 1
+        if self.is_mark(j, "]") and self.kind(j - 1) == "string":
+            j -= 1
+        places = [j]
+        if self.word(i) == "=":
+            for k in range(i - 1, max(i - REACH // 4, 0), -1):
+                if self.kind(k) == "sep" and self.word(k) == ":":
+                    places.append(k - 1)
+                if self.kind(k) not in ("name", "bare") and not self.is_mark(k, "[]|?,"):
+                    break
+        names = [self.word(k) for k in places if self.kind(k) in ("name", "string") and self.tokens[k][2] - self.tokens[k][1] <= MAX_NAME]
+        return [n for n in names if NAME.fullmatch(n)]
+
+    def run(self, start: int) -> int:
+        """The end of the run of value characters that start is in."""
+        if start >= self.run_end:
+            self.run_end = RUN.match(self.text, start).end()
+        return self.run_end
+
+    def call(self, i: int) -> tuple[list[Span], int]:
+        """The string that a call (its name at i) stands for, and the token after it."""
+        depth, arguments, k = 0, [[]], i + 1
+        while k < min(len(self.tokens), i + REACH):
+            if self.is_mark(k, "([{"):
+                depth += 1
+            elif self.is_mark(k, ")]}"):
+                depth -= 1
+                if not depth:
+                    k += 1
+                    break
+            elif self.is_mark(k, ",") and depth == 1:
+                arguments.append([])
+            elif self.kind(k) == "string" and depth == 1:
+                arguments[-1].append(self.tokens[k][1:])
+            k += 1
+        lookup = self.word(i).rpartition(".")[2].lower() in LOOKUPS
+        return next((a for a in arguments[lookup:] if a), []), k
+
+    def value(self, i: int) -> tuple[tuple[Span, ...], str | None]:
+        """Parts of the literal from token i on, or another name."""
+        parts: list[Span] = []
+        other, depth, k, end = None, 0, i, min(len(self.tokens), i + REACH)
+        while k < end:
+            kind = self.kind(k)
+            if self.is_mark(k, "(") or (depth and self.is_mark(k, "\n")) or (parts and self.is_mark(k, "+")) or (other and self.is_mark(k, "|?")):
+                depth += self.is_mark(k, "(")
+                k += 1
+            elif kind == "string":
+                parts.append(self.tokens[k][1:])
+                k += 1
+                if not (self.kind(k) == "string" or self.is_mark(k, "+") or depth and self.is_mark(k, "\n")):
+                    break
+            elif kind in ("name", "bare") and not parts:
+                start, stop = self.tokens[k][1:]
+                word = self.text[start:stop]
+                if kind == "name" and self.is_mark(k + 1, "("):
+                    found, k = self.call(k)
+                    parts += found
+                    break
+                if word in PREFIXES and self.kind(k + 1) == "string" or word.lower() in SCHEMES or (other and word == "or"):
+                    k += 1
+                    continue
+                if other:
+                    break
+                stop = self.run(start)
+                if NAME.fullmatch(self.text, start, stop) and not random_looking(self.text[start:stop]):
+                    other = self.text[start:stop]
+                    while k < len(self.tokens) and self.tokens[k][1] < stop:
+                        k += 1
+                    continue
+                parts.append((start, stop))
+                break
+            else:
+                break
+        return tuple(parts), None if parts else other
+
+    def pairs(self) -> Iterator[tuple[int, str, tuple[Span, ...], str | None]]:
+        taken = -1  # the end of the run that a sensitive name has taken: no other name takes a piece of it
+        for i, (kind, start, _) in enumerate(self.tokens):
+            if kind == "sep" and start >= taken and (names := self.targets(i)):
+                parts, other = self.value(i + 1)
+                for name in names if parts or other else ():
+                    yield start, name, parts, other
+                    if parts and parts[-1][1] == self.run_end and name_weight(name) >= THRESHOLD:
+                        taken = self.run_end
+
+
+def assignments(text: str, lo: int, hi: int, depth: int = 2) -> Iterator[tuple[int, str, tuple[Span, ...], str | None]]:
+    parser = Parser(text, lo, hi)
+    yield from parser.pairs()
+    if depth:
+        for kind, start, end in parser.tokens:
+            if kind == "string" and end - start > LEAST and (text.find("=", start, end) >= 0 or text.find(":", start, end) >= 0):
+                yield from assignments(text, start, end, depth - 1)
+
+
+def literal_spans(text: str) -> list[Span]:
     """Literals whose most sensitive target makes them a secret."""
-    constants: dict[str, tuple[int, int]] = {}
-    weights: dict[tuple[int, int], float] = {}
-    for name, start, end, other in assignments(text):
-        if other is not None and other in constants:
-            start, end = constants[other]
-        span = start, end
-        constants[name] = span
-        weights[span] = max(weights.get(span, 0.0), name_weight(name))
-    return sorted(s for s, w in weights.items() if w and w * strength(text[s[0] : s[1]]) >= THRESHOLD)
+    found = list(assignments(text, 0, len(text)))
+    if "</" in text:
+        found += [(m.start(), m[1], (m.span(2),), None) for m in ELEMENT.finditer(text)]
+    if "-" in text:
+        found += [(m.start(), m[1], (m.span(2),), None) for m in OPTION.finditer(text)]
+    constants: dict[str, tuple[Span, ...]] = {}
+    weights: dict[tuple[Span, ...], float] = {}
+    for _, name, parts, other in sorted(found, key=lambda x: x[0]):
+        if not parts:
+            parts = constants.get(other or "", ())
+            if not parts:
+                continue
+        constants[name] = parts
+        weights[parts] = max(weights.get(parts, 0.0), name_weight(name))
+    secret = {(p[0][0], p[-1][1]) for p, w in weights.items() if w >= THRESHOLD and w * strength("".join(text[a:b] for a, b in p)) >= THRESHOLD}
+    return sorted(secret)
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """All spans (start, kind number, end) of one text, in order."""
     found = base_spans(text)
-    if "=" in text or ":" in text or "</" in text or "--" in text:
-        base = found
-        found = found + [(a, 3, b) for a, b in literal_spans(text) if not any(x <= a and b <= y for x, _, y in base)]
+    if "=" in text or ":" in text or "</" in text or "-" in text:
+        found += [(a, 3, b) for a, b in literal_spans(text)]
     return sorted(found)
 
 
