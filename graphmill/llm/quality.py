@@ -42,39 +42,44 @@ def words_of(text: str | Column) -> Column:
     return F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0))
 
 
-def joined_hashes(hashes: str, step: int) -> Column:
+def joined_hashes(hashes: str | Column, step: int) -> Column:
     """The hash of each element with the one step places on, where there is one."""
     after = F.slice(hashes, step + 1, F.greatest(F.size(hashes) - step, F.lit(0)))
     both = F.zip_with(F.slice(hashes, 1, F.size(after)), after, lambda a, b: F.xxhash64(a, b))
     return both
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, as the only element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def with_hashes(rows: DataFrame) -> DataFrame:
     """rows (with words) with plain and pairs: the hash of every lower-cased word and
-    of every pair of neighbours. Columns of their own, so each is computed once."""
+    of every pair of neighbours."""
     out = rows.withColumn("plain", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
     return out.withColumn("pairs", joined_hashes("plain", 1))
 
 
-def buckets_of() -> Column:
-    """The bucket of every word and of every pair."""
-    return F.transform(F.concat("plain", "pairs"), lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))
+def bucket_of(h: Column) -> Column:
+    return h.bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def bucket_counts(rows: DataFrame, name: str) -> DataFrame:
-    """(bucket, name) from rows of an array column `buckets`."""
-    return rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+def buckets_of(text: str | Column) -> Column:
+    """The bucket of every word and of every pair of a text."""
+    plain = F.transform(words_of(text), lambda w: F.xxhash64(F.lower(w)))
+    return bound(plain, lambda p: F.transform(F.concat(p, joined_hashes(p, 1)), bucket_of))
 
 
 def ratios(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_trusted: int = 20_000) -> list[float]:
-    """log p(target) - log p(raw) of each bucket."""
-    words = docs.select(F.col(id_col).alias("doc_id"), words_of(text_col).alias("words"))
-    hashed = with_hashes(words).select("doc_id", buckets_of().alias("buckets"))
-    raw = bucket_counts(hashed, "raw")
+    """log p(target) - log p(raw) of each bucket; both multinomials are counted in one
+    pass over docs."""
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).dropna().distinct()
-    trusted = trusted.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(max_trusted)
-    target = bucket_counts(hashed.join(F.broadcast(trusted), "doc_id", "left_semi"), "target")
-    held = {r.bucket: (r.raw, r.target or 0) for r in raw.join(target, "bucket", "left").collect()}  # BUCKETS rows at most
+    trusted = trusted.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(max_trusted).withColumn("trusted", F.lit(1))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(trusted), "doc_id", "left")
+    grams = rows.select("trusted", F.explode(buckets_of("text")).alias("bucket"))
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+    held = {r.bucket: (r.raw, r.target) for r in counts.collect()}  # BUCKETS rows at most
     totals = [sum(x[i] for x in held.values()) + SMOOTH * BUCKETS for i in (0, 1)]
     if totals[1] == SMOOTH * BUCKETS:
         return [0.0] * BUCKETS
@@ -130,7 +135,7 @@ def judge(docs: DataFrame, weights: list[float], *, text_col: str = "text", thre
     out = counted(packed(docs, text_col))
     table = literal_array(weights)
     n_grams = F.size("plain") + F.size("pairs")
-    total = F.aggregate(buckets_of(), F.lit(0.0), lambda s, b: s + F.element_at(table, b + 1))
+    total = F.aggregate(F.concat("plain", "pairs"), F.lit(0.0), lambda s, h: s + F.get(table, bucket_of(h)))
     out = out.withColumn("ratio", total / F.greatest(n_grams, F.lit(1))).drop("words", "plain", "pairs")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
