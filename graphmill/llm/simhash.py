@@ -6,7 +6,8 @@ the search works on distinct fingerprints only. Two fingerprints that differ in
 at most `distance` bits agree on one of distance + 1 bit blocks; each distinct
 fingerprint goes to one bucket per block. A bucket over BUCKET rows is dealt out
 again by the bits it doesn't share yet: what remains of the blocks is cut again
-into distance + 1 blocks, to which the same argument applies.
+into distance + 1 blocks, to which the same argument applies, and so on while
+buckets are too large and the cuts (a fixed table) have no more than CUTS rows.
 
 Within a bucket the fingerprints stand in Gray order, in which neighbours differ
 in few bits. An index node covers a run of them and holds the bits that all of
@@ -14,17 +15,28 @@ them share (mask and pattern); a node's own mask is what its parent hasn't
 factored out. A search adds up differences on the way down and drops a whole
 node once the sum exceeds the distance, takes a whole node at once if even its
 unshared bits can't exceed it, and drops nodes whose members are already
-connected to the query. A bucket returns a spanning forest of its links, at most
-one row per member, never all pairs.
+connected to the query. Buckets of few leaves, which no node above a leaf would
+prune, are compared along the Gray order, many buckets in one sweep. Links come
+out as a spanning forest, at most one row per member, never all pairs.
 
 The links' connected components come from repeated large-star and small-star
-steps over (fingerprint, fingerprint) rows, written to the shared folder after
-each round; only counts reach the driver.
+steps over rows of links, written to the shared folder after each round; only
+counts reach the driver.
+
+near_copies() groups texts whose sets of word shingles have a Jaccard similarity
+of at least `similarity`. Its candidates are the components of fingerprints of
+the texts' distinct words, which move by few bits when few words change; links
+are then confirmed by exact Jaccard of the shingle sets, within a component. A
+component's texts are not all compared to one another: a share of them, the
+pivots, is compared to all, in rounds with more pivots each, until the texts that
+were no pivots are known to be connected to one another.
 
 Defined results: null or wordless text has fingerprint 0, linked like any
 other; a null doc_id is a row of its own whose component is the smallest non-null
 doc_id reachable (null if there is none); repeated rows get equal results; ties
-in the smallest doc_id don't matter; an empty table gives an empty result. Only
+in the smallest doc_id don't matter; an empty table gives an empty result. Of
+near copies the row with the smallest id stays (null last, then by a hash of the
+text; of repeated rows, one); wordless texts are copies of one another. Only
 the named columns are read; others pass through untouched.
 """
 
@@ -44,32 +56,51 @@ BITS = 64
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
-#: Members of a bucket above which it is dealt out again.
-BUCKET = 8192
+#: Members of a bucket above which it is dealt out again, and the most rows of the table of cuts.
+BUCKET, CUTS = 8192, 5000
+#: Rows of the buckets that one call searches, about, and of a bucket that is compared in one sweep.
+GROUP, SWEEP = 32_768, 64
 LEAF, FANOUT = 16, 8
+#: Of near_copies(): shingle, similarity, differing bits of the fingerprints of words.
+NEAR_SHINGLE, SIMILARITY, NEAR_DISTANCE = 5, 0.8, 7
+#: Pivots of a component in the first round, and how many times more in each next one.
+PIVOTS, MORE = 32, 8
+#: Members of a component that are compared to its pivots in one task, about.
+SPLIT = 1000
 #: (query, leaf) pairs that a search may hold at once.
 FRONT = 1 << 20
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of one text in UTF-8; every repeated shingle counts."""
-    words = text.lower().split()  # bytes: A-Z only, ASCII white space only
-    if not words:
-        return 0
+def simhash_of(features: list[bytes]) -> int:
+    """A bit is 1 if it is set in over half of the features' hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(features), BLOCK):
+        h = np.array([xxhash.xxh64_intdigest(f, SEED) for f in features[at : at + BLOCK]], "<u8")
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(features), bitorder="little").view("<u8")[0])
+
+
+def shingles_of(words: list[bytes], width: int) -> list[bytes]:
+    """Runs of width words, repeats included; of fewer words, the whole sequence."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(shingle, len(words))
+    width = min(width, len(words))
     first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for at in range(0, len(first), BLOCK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint32)
-    set_bits = np.packbits(2 * ones > len(first), bitorder="little")
-    return int(set_bits.view("<u8")[0])
+    return [joined[i:j] for i, j in zip(first, last, strict=True)]
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()  # bytes: A-Z only, ASCII white space only
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of one text in UTF-8; every repeated shingle counts."""
+    words = words_of(text)
+    return simhash_of(shingles_of(words, shingle)) if words else 0
 
 
 def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -225,89 +256,200 @@ def bucket_links(codes: np.ndarray, distance: int = DISTANCE) -> list[tuple[int,
     return [(int(codes[a]), int(codes[b])) for a, b in kept]
 
 
-def links_of_bucket(pdf):
-    """For applyInPandas: the forest of one bucket's distinct fingerprints."""
-    import pandas as pd
+def links_of_group(distance: int):
+    """For applyInPandas: a forest of the links in a group of buckets (bucket, fp)."""
+
+    def links(pdf):
+        import pandas as pd
+
+        codes, bucket = pdf["fp"].to_numpy().view(np.uint64), pdf["bucket"].to_numpy()
+        order = np.lexsort((gray_rank(codes), bucket))
+        codes, bucket = codes[order], bucket[order]
+        distinct, place = np.unique(codes, return_inverse=True)
+        forest, kept = Forest(len(distinct)), []
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        sizes = np.diff(np.append(cuts, len(bucket)))
+        few = np.repeat(sizes <= SWEEP, sizes)
+        small, key, at = codes[few], bucket[few], place[few]
+        for apart in range(1, SWEEP):
+            together = np.flatnonzero(key[apart:] == key[:-apart])
+            if not len(together):
+                break
+            near = together[popcount(small[together + apart] ^ small[together]) <= distance]
+            kept += forest.join(np.stack([at[near], at[near + apart]], 1))
+        for first, size in zip(cuts[sizes > SWEEP].tolist(), sizes[sizes > SWEEP].tolist(), strict=True):
+            found = np.array(bucket_links(codes[first : first + size], distance), np.uint64).reshape(-1, 2)
+            kept += forest.join(np.searchsorted(distinct, found))
+        pairs = distinct[np.array(kept, np.int64).reshape(-1, 2)].view(np.int64)
+        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+    return links
 
-    codes = np.unique(pdf["fp"].to_numpy()).view(np.uint64)
-    pairs = np.array(bucket_links(codes), np.uint64).reshape(-1, 2).view(np.int64)
-    return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+def cuts_of(used: int, distance: int) -> list[int]:
+    """The masks that the bits not yet used are cut into."""
+    return [mask_of(block) for block in blocks_of([b for b in range(BITS) if not used >> b & 1], distance + 1)]
 
 
 def bucketed(prints: DataFrame, distance: int) -> DataFrame:
     """(bucket, fp): every pair within the distance shares a bucket of at most
-    BUCKET rows, or one whose members share all bits but a few."""
-    first = blocks_of(list(range(BITS)), distance + 1)
-    kinds = F.array(*[F.struct(F.lit(i).alias("block"), F.lit(mask_of(b)).alias("mask")) for i, b in enumerate(first)])
-    dealt = prints.select("fp", F.explode(kinds).alias("k"))
-    dealt = dealt.select("fp", F.col("k.block").alias("block"), F.col("fp").bitwiseAND(F.col("k.mask")).alias("bits"))
-    large = written(dealt.groupBy("block", "bits").count().where(F.col("count") > BUCKET), "simhash-large")
-    if large.isEmpty():
-        return dealt.select(F.xxhash64("block", "bits").alias("bucket"), "fp")
-    keyed = dealt.join(large, ["block", "bits"], "left")
-    small = keyed.where("count IS NULL").select(F.xxhash64("block", "bits").alias("bucket"), "fp")
-    parts = []
-    for i, block in enumerate(first):
-        for j, inner in enumerate(blocks_of([b for b in range(BITS) if b not in block], distance + 1)):
-            parts.append(F.struct(F.lit(i).alias("block"), F.lit(j).alias("inner"), F.lit(mask_of(inner)).alias("mask")))
-    again = keyed.where("count IS NOT NULL").select("fp", "block", "bits", F.explode(F.filter(F.array(*parts), lambda p: p["block"] == F.col("block"))).alias("p"))
-    again = again.select(F.xxhash64("block", "bits", F.col("p.inner"), F.col("fp").bitwiseAND(F.col("p.mask"))).alias("bucket"), "fp")
-    return small.unionByName(again)
+    BUCKET rows, or one whose members share the bits of all levels of cuts."""
+    spark = prints.sparkSession
+    open_ = prints.select(F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("used"), "fp")
+    done, uses = [], [0]
+    while True:
+        cuts = [(used, mask) for used in uses for mask in cuts_of(used, distance)]
+        table = F.broadcast(spark.createDataFrame(cuts, "used long, mask long"))  # CUTS rows at most
+        dealt = open_.join(table, "used").select(F.xxhash64("bucket", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), F.col("used").bitwiseOR(F.col("mask")).alias("used"), "fp")
+        uses = sorted({used | mask for used, mask in cuts})
+        if len(uses) * (distance + 1) > CUTS or BITS - max(map(int.bit_count, map(unsigned, uses))) < 2 * (distance + 1):
+            done.append(dealt)
+            break
+        dealt = written(dealt, "simhash-dealt") if done else dealt
+        large = written(dealt.groupBy("bucket").count().where(F.col("count") > BUCKET).select("bucket"), "simhash-large")
+        if large.isEmpty():
+            done.append(dealt)
+            break
+        done.append(dealt.join(large, "bucket", "left_anti"))
+        open_ = dealt.join(large, "bucket", "left_semi")
+    out = done[0].select("bucket", "fp")
+    for more in done[1:]:
+        out = out.unionByName(more.select("bucket", "fp"))
+    return out
+
+
+def unsigned(mask: int) -> int:
+    return mask & ((1 << BITS) - 1)
+
+
+def linked(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, root) of the distinct fingerprints that have a link."""
+    groups = max(1, prints.count() * (distance + 1) // GROUP)
+    dealt = bucketed(prints, distance).groupBy(F.pmod("bucket", F.lit(groups)).alias("group"))
+    return components(dealt.applyInPandas(links_of_group(distance), "a long, b long")).select(F.col("node").alias("fp"), "root")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(fp, root): the smallest fingerprint reachable by links (a, b), a < b,
-    for every fingerprint that has a link.
+    """(node, root): the smallest node reachable by links (a, b), for every node
+    that has a link.
 
     Large-star and small-star rounds until nothing changes; a star's centre is
     a key of map-side combined minimums and of skew-split joins only.
     """
-    edges = written(links.where("a <> b").distinct(), "simhash-links")
+    edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
-        large = written(large, "simhash-large-star")
+        large = written(large, "large-star")
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b").select("b", "a", "low")
         to_low = small.where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
-        stars = written(small.select(F.col("low").alias("a"), "b").unionByName(to_low).distinct(), "simhash-small-star")
+        stars = written(small.select(F.col("low").alias("a"), "b").unionByName(to_low).distinct(), "small-star")
         # A forest of stars: every b has one a, and no a is a b.
         inner = stars.select(F.col("b").alias("a")).join(stars.select("a").distinct(), "a", "left_semi")
         if inner.isEmpty() and stars.count() == stars.select("b").distinct().count():
-            roots = stars.select(F.col("a").alias("fp")).distinct().select("fp", F.col("fp").alias("root"))
-            return stars.select(F.col("b").alias("fp"), F.col("a").alias("root")).unionByName(roots)
+            roots = stars.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
+            return stars.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
         edges = stars
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """docs' ids with fp, links of their class and component_id.
-
-    One row per row of docs: id_col, fp, component_id.
-    """
+    """One row per row of docs: id_col, fp, component_id."""
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = written(with_fingerprint(ids).select("id", "fp"), "simhash-prints")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    forest = bucketed(distinct.select("fp"), distance).groupBy("bucket").applyInPandas(links_of_bucket, "a long, b long")
-    roots = written(components(forest), "simhash-roots")
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
+    roots = written(linked(distinct.select("fp"), distance), "simhash-roots")
     # Fingerprints that stand alone never meet this join's other side.
-    linked = distinct.join(roots, "fp")
-    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(lowest, "root").select("fp", "component_id")
+    joined = distinct.join(roots, "fp")
+    lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = joined.join(lowest, "root").select("fp", "component_id")
     alone = distinct.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
     return spread_back(prints, written(named.unionByName(alone), "simhash-classes")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row of docs per group of near-duplicates: that with the smallest id
-    (null last, then by a hash of id and text); of repeated rows, one."""
-    key = F.xxhash64(id_col, text_col)
-    order = F.struct(F.col(id_col).isNull().alias("nil"), F.col(id_col).alias("id"), key.alias("key"))
-    found = near_duplicates(docs.select(order.alias("order"), F.col(text_col)), id_col="order", text_col=text_col, distance=distance)
-    first = found.where("order = component_id").select(F.col("order.key").alias("first_key"), F.col("order.id").alias("first_id")).distinct()
+PRINTS = "fp long, same binary"
+
+
+def word_prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Of each text: the SimHash of its distinct words, and a hash of the words in order."""
+    for texts in batches:
+        words = [words_of(t) for t in texts.to_pylist()]
+        fps = np.array([simhash_of(list(set(w))) if w else 0 for w in words], np.uint64).view(np.int64)
+        same = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
+        yield pa.StructArray.from_arrays([pa.array(fps), same], ["fp", "same"])
+
+
+def shingle_sets(width: int):
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = (shingles_of(words_of(t), width) if t.strip() else [] for t in texts.to_pylist())
+            hashes = [np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in f], np.uint64)).view(np.int64) for f in found]
+            yield pa.array(hashes, pa.list_(pa.int64()))
+
+    return sets
+
+
+def confirmed(members: DataFrame, similarity: float) -> DataFrame:
+    """(member, label) of members (group, member, grams): equal labels where a
+    chain of exact similarities of at least `similarity` connects two members of a
+    group."""
+    members = written(members, "near-members")
+    state = members.select("group", "member", F.col("member").alias("label"), F.lit(False).alias("ran"))
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("splits"))
+    pivots = PIVOTS
+    while True:
+        # Open: members that were no pivots, outside the label that most of those have.
+        classes = state.where("NOT ran").groupBy("group", "label").count()
+        open_ = classes.groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("n"), F.max("count").alias("top"))
+        open_ = written(open_.where("n > top").join(sizes, "group"), "near-open")
+        if open_.isEmpty():
+            return state.select("member", "label")
+        candidates = state.join(open_, "group").where("NOT ran AND (top = 1 OR label <> most)")
+        left = F.when(F.col("top") == 1, F.col("n")).otherwise(F.col("n") - F.col("top"))
+        share = F.pmod(F.xxhash64("member", F.lit(pivots)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        chosen = written(candidates.where((left <= pivots) | (share < pivots / left)).select("member"), "near-pivots")
+        rows = members.join(open_.select("group", "splits"), "group")
+        spread = rows.join(chosen, "member", "left_semi").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+        spread = spread.select("group", "split", F.col("member").alias("pivot"), F.col("grams").alias("pivot_grams"))
+        rows = rows.select("group", F.pmod(F.hash("member"), "splits").alias("split"), "member", "grams")
+        n, m, both = F.size("grams"), F.size("pivot_grams"), F.size(F.array_intersect("grams", "pivot_grams"))
+        pairs = rows.join(spread, ["group", "split"]).where((F.col("member") != F.col("pivot")) & (F.least(n, m) >= similarity * F.greatest(n, m)))
+        pairs = pairs.where(both >= similarity * (n + m - both)).select("member", "pivot")
+        names = state.select("member", "label")
+        edges = pairs.join(names, "member").select("pivot", F.col("label").alias("a")).distinct()
+        edges = edges.join(names.select(F.col("member").alias("pivot"), F.col("label").alias("b")), "pivot").select("a", "b")
+        roots = components(edges).select(F.col("node").alias("label"), "root")
+        state = state.join(roots, "label", "left").join(chosen.select("member", F.lit(True).alias("now")), "member", "left")
+        state = state.select("group", "member", F.coalesce("root", "label").alias("label"), (F.col("ran") | F.col("now").isNotNull()).alias("ran"))
+        state = written(state, "near-state")
+        pivots *= MORE
+
+
+def keep_first(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, distance: int = NEAR_DISTANCE
+) -> DataFrame:
+    """One row of docs per group of near copies: that with the smallest id
+    (null last, then by a hash of the text); of repeated rows, one."""
+    small_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(row.alias("row"), key.alias("key"), F.col(id_col).alias("id"))
-    kept = keyed.join(first, F.expr("key = first_key AND id <=> first_id"), "left_semi").dropDuplicates(["key", "id"])
+    key = F.xxhash64(text_of(text_col))
+    work = docs.select(row.alias("row"), text_of(text_col).alias("text"), key.alias("key"), F.col(id_col).alias("id"))
+    prints = work.select("id", "key", F.arrow_udf(word_prints, PRINTS)(F.col("text").cast("binary")).alias("p")).select("id", "key", "p.*")
+    order = F.struct(F.col("id").isNull().alias("nil"), F.col("id").alias("id"), F.col("key").alias("key"))
+    texts = written(prints.groupBy("same").agg(F.min(order).alias("first"), F.min("fp").alias("fp")), "near-texts")
+    roots = written(linked(texts.select("fp").distinct(), distance), "near-roots")
+    grouped = texts.join(roots, "fp", "left").withColumn("group", F.coalesce("root", "fp")).drop("root")
+    several = grouped.groupBy("group").count().where("count > 1").select("group", F.lit(True).alias("several"))
+    grouped = grouped.join(several, "group", "left").select("same", "first", "group", F.coalesce("several", F.lit(False)).alias("several"))
+    # The first row of every distinct text moves once, with its text.
+    rows = work.alias("w").join(grouped.alias("g"), F.expr("w.key = g.first.key AND w.id <=> g.first.id"))
+    rows = written(rows.select("row", "text", "same", "group", "several", "first").dropDuplicates(["same"]), "near-rows")
+    grams = F.arrow_udf(shingle_sets(shingle), "array<long>")(F.col("text").cast("binary"))
+    labels = confirmed(rows.where("several").select("group", F.col("same").alias("member"), grams.alias("grams")), similarity)
+    firsts = rows.where("several").select(F.col("same").alias("member"), "first").join(labels, "member")
+    lowest = firsts.groupBy("label").agg(F.min_by("member", "first").alias("same"))
+    kept = rows.where("NOT several").select("row").unionByName(rows.where("several").join(lowest, "same", "left_semi").select("row"))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
