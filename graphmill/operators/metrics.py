@@ -58,7 +58,8 @@ def auc_by_rank(preds: DataFrame, fallback: float | None = None) -> DataFrame:
 
 
 def roc_points(preds: DataFrame) -> DataFrame:
-    """(fpr, tpr, threshold) from the origin on, collinear points left out."""
+    """(fpr, tpr, threshold) from the origin on, collinear points left out; a rate
+    of no positives or no negatives is null, of no rows only the origin is left."""
     c = cumulated(by_score(preds))
     total = c.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     # A point lies on a line with its neighbours if the steps to it and from it are
@@ -72,14 +73,15 @@ def roc_points(preds: DataFrame) -> DataFrame:
     kept = ahead.where("(top AND place = 1) OR next IS NULL OR p <> next.p OR n <> next.n")
     origin = total.select(F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.lit(float("inf")).alias("threshold"))
     points = kept.select("tp", "fp", F.col("s").cast("double").alias("threshold")).unionByName(origin)
-    return points.join(F.broadcast(total)).select((F.col("fp") / F.col("neg")).alias("fpr"), (F.col("tp") / F.col("pos")).alias("tpr"), "threshold")
+    return points.join(F.broadcast(total)).select(F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr"), "threshold")
 
 
-def auc_by_area(preds: DataFrame) -> DataFrame:
-    """auc: area under the curve by trapezoids."""
+def auc_by_area(preds: DataFrame, fallback: float | None = None) -> DataFrame:
+    """auc: area under the curve by trapezoids; of one class: fallback."""
     c = cumulated(by_score(preds))
     area = F.sum(F.col("n") * (2 * F.col("tp") - F.col("p")) / 2)
-    return c.agg((area / (F.sum("p") * F.sum("n"))).alias("auc"))
+    pairs = F.sum("p") * F.sum("n")
+    return c.agg(F.when(pairs > 0, F.try_divide(area, pairs)).otherwise(F.lit(fallback).cast("double")).alias("auc"))
 
 
 def evaluate(preds: DataFrame, model: str, dataset: str, threshold: float = 0.5, inclusive: bool = True, fallback: float | None = None) -> DataFrame:
@@ -96,11 +98,12 @@ def summary(rows: list[DataFrame]) -> DataFrame:
     return out.orderBy(F.desc("auc"), "model", "dataset")
 
 
-def metric_lines(row: DataFrame) -> DataFrame:
-    """A metric row as lines of text, six decimals."""
-    names = ("auc", "accuracy", "f1", "precision", "recall")
-    lines = F.array(*[F.format_string(f"{n}: %.6f", F.col(n)) for n in names])
-    return row.select(F.explode(lines).alias("value"))
+def metric_lines(row: DataFrame, names: tuple[str, ...] = ("auc", "accuracy", "f1", "precision", "recall"), dataset: bool = False) -> DataFrame:
+    """A metric row as lines of text, six decimals, after a line that names the
+    dataset if asked for."""
+    lines = [F.format_string(f"{n}: %.6f", F.col(n)) for n in names]
+    head = [F.concat(F.lit("Dataset: "), "dataset")] if dataset else []
+    return row.select(F.explode(F.array(*head, *lines)).alias("value"))
 
 
 def early_stop(history: DataFrame, patience: int) -> DataFrame:

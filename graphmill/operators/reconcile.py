@@ -15,11 +15,6 @@ def last_by_key(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
-def id_map(nodes: DataFrame, node_type: str, value: str) -> DataFrame:
-    """(node_id, value) of the nodes of a type; of equal ids the largest index wins."""
-    return last_by_key(nodes.where(F.col("node_type") == node_type), "node_id", value, "node_index")
-
-
 def no_zeros(c: Column) -> Column:
     return F.regexp_replace(c, "^0+", "")
 

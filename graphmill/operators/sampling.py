@@ -8,7 +8,6 @@ first attempt left is the negative. Rows whose attempts all fail are dropped.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,13 +74,17 @@ def cold_nodes(edges: DataFrame, most: int = 3, positives_only: bool = False) ->
     return rows.groupBy(F.col("y_index").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") <= most)
 
 
-def cold_positives(pairs: DataFrame, cold: DataFrame, train: DataFrame, *, size: int = 2000, seed: int = 42, undirected: bool = False) -> DataFrame:
-    """Pairs with a cold tail that train doesn't have, at most `size` by hash."""
+def cold_positives(pairs: DataFrame, cold: DataFrame, train: DataFrame, *, heads: DataFrame | None = None, size: int = 2000, seed: int = 42, undirected: bool = False) -> DataFrame:
+    """Pairs with a cold tail that train doesn't have, at most `size` by hash. heads:
+    the only nodes (node) that may be heads. Pairs without a relation get 'indication'."""
     known = train.select("x_index", "y_index")
     if undirected:
         known = known.union(train.select("y_index", "x_index"))
     new = pairs.join(cold.select(F.col("node").alias("y_index")), "y_index", "left_semi").join(known.distinct(), ["x_index", "y_index"], "left_anti")
-    new = new.select("x_index", "y_index", F.lit(1).alias("label"), F.lit("indication").alias("relation"))
+    if heads is not None:
+        new = new.join(heads.select(F.col("node").alias("x_index")).distinct(), "x_index", "left_semi")
+    relation = F.col("relation") if "relation" in pairs.columns else F.lit("indication")
+    new = new.select("x_index", "y_index", F.lit(1).alias("label"), relation.alias("relation"))
     return new.orderBy(draw(seed, F.col("x_index"), F.col("y_index")), "x_index", "y_index").limit(size)
 
 
@@ -96,46 +99,75 @@ def head_negatives(positives: DataFrame, heads: DataFrame, banned: DataFrame, *,
     return best.select("x_index", "y_index", F.lit(0).alias("label"), F.lit("indication").alias("relation"))
 
 
-def coverage_sample(pairs: DataFrame, size: int = 500, share: float = 0.9, seed: int = 42) -> DataFrame:
-    """Greedy two-sided coverage, a strictly sequential rule.
+class Walk:
+    """Rows of a table in order of a hash, fetched a few at a time: those after a
+    place whose end (0: x_index, 1: y_index) is not covered yet."""
+
+    def __init__(self, ordered: DataFrame, fetch: int):
+        self.ordered, self.fetch = ordered, fetch
+        self.covered: tuple[set, set] = (set(), set())
+        self.restart()
+
+    def restart(self) -> None:
+        self.held: list[list | None] = [None, None]  # rows still ahead; None: not fetched yet
+        self.more = [True, True]
+
+    def rows_after(self, place: tuple | None, end: int) -> list[tuple]:
+        key = ("x_index", "y_index")[end]
+        rows = self.ordered.where(~F.col(key).isin(self.covered[end])) if self.covered[end] else self.ordered
+        if place is not None:
+            h, x, y = place
+            rows = rows.where((F.col("h") > h) | (F.col("h") == h) & ((F.col("x_index") > x) | (F.col("x_index") == x) & (F.col("y_index") > y)))
+        return [tuple(r) for r in rows.orderBy("h", "x_index", "y_index").limit(self.fetch).collect()]
+
+    def next(self, place: tuple | None, end: int) -> tuple | None:
+        """The first row after place whose end is new."""
+        while True:
+            held = self.held[end]
+            while held and (held[0][1 + end] in self.covered[end] or place is not None and held[0] <= place):
+                held.pop(0)
+            if held:
+                return held[0]
+            if not self.more[end]:
+                return None
+            self.held[end] = self.rows_after(place, end)
+            self.more[end] = len(self.held[end]) == self.fetch
+
+
+def coverage_sample(pairs: DataFrame, size: int = 500, share: float = 0.9, seed: int = 42, fetch: int = 2000) -> DataFrame:
+    """Greedy two-sided coverage, a strictly sequential rule over distinct pairs
+    (those with a null are left out).
 
     Rows are visited in the order of a hash, again and again: in turn 0 a row
     with a new x (or, below share * size rows, a new y) is taken, in turn 1
     with x and y in each other's place; every take flips the turn and covers
     both ends. When a pass takes nothing, the rest is filled in that order.
-    The walk is one task, so its input is bounded: of all rows, those that are
-    the first of their x or of their y, up to 20 * size of them in order, and
-    the first `size` rows of all for filling. Up to share * size takes this
-    changes nothing (only such rows are ever taken there); in the last part,
-    where turns matter, later rows of an end don't compete, a departure from
-    a walk over all rows that is part of this operator's definition.
+
+    Of all rows only those can be taken that are new in an end, so the walk asks
+    Spark for the next `fetch` of these after its place, by each end, and goes on
+    from there: the result is that of a walk over all rows, while the driver holds
+    2 * fetch rows and the sample. The table is read about once per fetch.
     """
-    ordered = pairs.withColumn("h", draw(seed, F.col("x_index"), F.col("y_index")))
-    for end in ("x_index", "y_index"):
-        rank = F.row_number().over(Window.partitionBy(end).orderBy("h", "x_index", "y_index"))
-        ordered = ordered.withColumn(f"r_{end}", rank)
-    first = ordered.where("r_x_index = 1 OR r_y_index = 1").select("h", "x_index", "y_index")
-    fill = ordered.orderBy("h", "x_index", "y_index").limit(size).select("h", "x_index", "y_index")
-    few = first.orderBy("h", "x_index", "y_index").limit(20 * size).unionByName(fill).distinct()
-
-    def walk(pdf):
-        rows = pdf.sort_values(["h", "x_index", "y_index"])[["x_index", "y_index"]].to_numpy().tolist()
-        seen, taken, turn = (set(), set()), [], 0
-        while len(taken) < size:
-            rest, took = [], False
-            for row in rows:
-                new = row[0] not in seen[0], row[1] not in seen[1]
-                if len(taken) < size and (new[turn] or (new[1 - turn] and len(taken) < share * size)):
-                    taken.append(row)
-                    seen[0].add(row[0])
-                    seen[1].add(row[1])
-                    turn, took = 1 - turn, True
-                else:
-                    rest.append(row)
-            rows = rest
-            if not took:
-                taken += rows[: size - len(taken)]
-                break
-        return pd.DataFrame(taken, columns=["x_index", "y_index"]).astype("int64")
-
-    return few.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(walk, "x_index long, y_index long")
+    spark = pairs.sparkSession
+    ordered = pairs.select(draw(seed, F.col("x_index"), F.col("y_index")).alias("h"), "x_index", "y_index").dropna()
+    walk, taken, turn, place, took = Walk(ordered, fetch), [], 0, None, False
+    while len(taken) < size:
+        ends = (0, 1) if len(taken) < share * size else (turn,)
+        ahead = [r for r in (walk.next(place, end) for end in ends) if r is not None]
+        if ahead:
+            place = min(ahead)
+            taken.append(place)
+            for end in (0, 1):
+                walk.covered[end].add(place[1 + end])
+            turn, took = 1 - turn, True
+        elif took:  # another pass, from the first row
+            place, took = None, False
+            walk.restart()
+        else:
+            break
+    found = spark.createDataFrame([r[1:] for r in taken], "x_index long, y_index long")
+    rest = size - len(taken)
+    if rest:
+        left = ordered.join(F.broadcast(found), ["x_index", "y_index"], "left_anti").orderBy("h", "x_index", "y_index").limit(rest)
+        found = found.unionByName(left.select("x_index", "y_index"))
+    return found

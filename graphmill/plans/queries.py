@@ -26,7 +26,7 @@ RAW = """
 lines AS (SELECT l_returnflag AS relation, l_suppkey + 10000000 AS x_index, l_partkey AS y_index, l_orderkey, l_linenumber, l_quantity FROM lineitem),
 raw AS (SELECT relation, x_index, y_index FROM lines
   UNION ALL SELECT relation, y_index, x_index FROM lines WHERE l_linenumber = 1
-  UNION ALL SELECT 'purchased', o_custkey + 20000000, y_index FROM lines JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 0),
+  UNION ALL SELECT 'purchased', o_custkey + 20000000, y_index FROM lines JOIN orders ON o_orderkey = l_orderkey),
 dedup AS (SELECT DISTINCT relation, least(x_index, y_index) AS src, greatest(x_index, y_index) AS dst FROM raw)"""
 SPLIT = f"""{RAW},
 ranked AS (SELECT *, row_number() OVER (ORDER BY {H.format("'42|' || relation || '|' || src || '|' || dst")}, relation, src, dst) AS rn, count(*) OVER () AS n FROM dedup),
@@ -123,11 +123,11 @@ def pool_sizes(spark, d):
 
 
 EXTERNAL = """
-cand AS (SELECT 'R' AS relation, least(l_suppkey + 10000000, l_partkey) AS src, greatest(l_suppkey + 10000000, l_partkey) AS dst FROM lineitem WHERE l_orderkey % 10 = 0)"""
+cand AS (SELECT 'R' AS relation, least(l_suppkey + 10000000, l_partkey) AS src, greatest(l_suppkey + 10000000, l_partkey) AS dst FROM lineitem)"""
 
 
 def candidates(spark, d):
-    lines = T.supply(spark, d).where("l_orderkey % 10 = 0").withColumn("relation", F.lit("R"))
+    lines = T.supply(spark, d).withColumn("relation", F.lit("R"))
     return E.canonical(lines).select(*E.EDGE)
 
 
@@ -214,22 +214,22 @@ def hard_negatives(spark, d):
 
 
 COLD = f"""
-known AS (SELECT l_suppkey + 10000000 AS x_index, l_partkey AS y_index FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40),
+known AS (SELECT l_suppkey + 10000000 AS x_index, l_partkey AS y_index FROM lineitem WHERE l_returnflag = 'R'),
 cold AS (SELECT y_index AS node, count(*) AS n FROM known GROUP BY y_index HAVING count(*) <= 3),
-fresh AS (SELECT DISTINCT l_suppkey + 10000000 AS x_index, l_partkey AS y_index FROM lineitem WHERE l_orderkey % 10 = 0),
+fresh AS (SELECT DISTINCT l_suppkey + 10000000 AS x_index, l_partkey AS y_index FROM lineitem),
 coldpos AS (SELECT x_index, y_index, 1 AS label, 'indication' AS relation FROM fresh
   WHERE y_index IN (SELECT node FROM cold) AND (x_index, y_index) NOT IN (SELECT x_index, y_index FROM known)
   ORDER BY {H.format("'42|' || x_index || '|' || y_index")}, x_index, y_index LIMIT 2000)"""
 
 
 def cold_train(spark, d):
-    return T.supply(spark, d).where("relation = 'R' AND l_quantity >= 40").select("relation", "x_index", "y_index")
+    return T.supply(spark, d).where("relation = 'R'").select("relation", "x_index", "y_index")
 
 
 def cold_set(spark, d):
-    pairs = T.supply(spark, d).where("l_orderkey % 10 = 0").select("x_index", "y_index").distinct()
+    pairs = T.supply(spark, d).select("x_index", "y_index").distinct()
     known = cold_train(spark, d)
-    return S.cold_positives(pairs, S.cold_nodes(known), known)
+    return S.cold_positives(pairs, S.cold_nodes(known), known, heads=members(spark, d))
 
 
 @query(f"WITH {COLD} SELECT node, n FROM cold")
@@ -259,7 +259,7 @@ def cold_negatives(spark, d):
 
 MAPPING = f"""{NODES},
 pairs AS (SELECT CASE WHEN l_partkey % 7 = 0 THEN 'X' || l_suppkey ELSE l_suppkey::VARCHAR END AS DrugID,
-  CASE WHEN l_suppkey % 11 = 0 THEN 'OMIM:' || l_partkey ELSE 'MESH:D' || CASE WHEN l_partkey > 999999 THEN left(l_partkey::VARCHAR, 6) ELSE lpad(l_partkey::VARCHAR, 6, '0') END END AS DiseaseID, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0),
+  CASE WHEN l_suppkey % 11 = 0 THEN 'OMIM:' || l_partkey ELSE 'MESH:D' || CASE WHEN l_partkey > 999999 THEN left(l_partkey::VARCHAR, 6) ELSE lpad(l_partkey::VARCHAR, 6, '0') END END AS DiseaseID, l_partkey FROM lineitem),
 mapped AS (SELECT p.DrugID, p.DiseaseID, x.node_index AS x_index, x.node_name AS x_name, y.node_index AS y_index, y.node_name AS y_name
   FROM pairs p LEFT JOIN nodes x ON x.node_type = 'drug' AND x.node_id = p.DrugID
   LEFT JOIN nodes y ON y.node_type = 'disease' AND p.DiseaseID LIKE 'MESH:D%' AND y.node_id = ltrim(substr(p.DiseaseID, 7), '0') AND y.node_index % 3 <> 0)"""
@@ -295,7 +295,7 @@ def null_pair_drop(spark, d):
     return R.matched_only(mapped(spark, d))
 
 
-@query(r"""WITH ids AS (SELECT DISTINCT CASE WHEN l_suppkey % 11 = 0 THEN 'OMIM:' || l_partkey ELSE 'MESH:D' || lpad(l_partkey::VARCHAR, 6, '0') END AS id FROM lineitem WHERE l_orderkey % 10 = 0),
+@query(r"""WITH ids AS (SELECT DISTINCT CASE WHEN l_suppkey % 11 = 0 THEN 'OMIM:' || l_partkey ELSE 'MESH:D' || lpad(l_partkey::VARCHAR, 6, '0') END AS id FROM lineitem),
 plain AS (SELECT id, replace(id, 'MESH:', '') AS p FROM ids),
 short AS (SELECT *, CASE WHEN p LIKE 'D%' THEN ltrim(replace(p, 'D', ''), '0') ELSE ltrim(p, '0') END AS s FROM plain)
 SELECT id AS DiseaseID, [p, 'D' || CASE WHEN length(s) >= 6 THEN s ELSE lpad(s, 6, '0') END, s] AS keys FROM short""")
@@ -305,14 +305,14 @@ def crosswalk_normalize(spark, d):
 
 
 ENRICHED = f"""{NODES},
-checked AS (SELECT 'R' AS relation, l_suppkey + 10000000 AS x_index, CASE WHEN l_linenumber = 1 THEN l_suppkey + 20000000 WHEN l_linenumber = 2 THEN -1 ELSE l_partkey END AS y_index, 1 AS label FROM lineitem WHERE l_orderkey % 10 = 0),
+checked AS (SELECT 'R' AS relation, l_suppkey + 10000000 AS x_index, CASE WHEN l_linenumber = 1 THEN l_suppkey + 20000000 WHEN l_linenumber = 2 THEN -1 ELSE l_partkey END AS y_index, 1 AS label FROM lineitem),
 enriched AS (SELECT c.*, x.node_name AS x_name, y.node_name AS y_name, x.node_type AS x_type, y.node_type AS y_type,
   coalesce(x.node_type IN ('drug', 'disease') AND y.node_type IN ('drug', 'disease') AND x.node_type <> y.node_type, false) AS is_valid
   FROM checked c LEFT JOIN nodes x ON x.node_index = c.x_index LEFT JOIN nodes y ON y.node_index = c.y_index)"""
 
 
 def enriched(spark, d):
-    lines = T.supply(spark, d).where("l_orderkey % 10 = 0")
+    lines = T.supply(spark, d)
     tail = F.when(F.col("l_linenumber") == 1, F.col("x_index") + 10_000_000).when(F.col("l_linenumber") == 2, F.lit(-1)).otherwise(F.col("y_index"))
     rows = lines.select(F.lit("R").alias("relation"), "x_index", tail.alias("y_index"), F.lit(1).alias("label"))
     return R.enrich(rows, T.nodes(spark, d))
@@ -380,6 +380,19 @@ def sim_row_norm(spark, d):
     return J.normalised(J.both_ways(sims(spark, d), m)).select("i", "j", F.round("w", 9).alias("w"))
 
 
+@query(f"""WITH {FULL}, nation_of AS (SELECT s_suppkey + 10000000 AS node, s_nationkey AS batch FROM supplier)
+SELECT f.i, f.j, x.batch, round(f.sim / sum(f.sim) OVER (PARTITION BY f.i), 9) AS w FROM "full" f JOIN nation_of x ON x.node = f.i JOIN nation_of y ON y.node = f.j AND y.batch = x.batch""")
+def sim_batch_norm(spark, d):
+    nations = T.table(spark, d, "supplier").select((F.col("s_suppkey") + T.DRUGS).alias("node"), F.col("s_nationkey").alias("batch"))
+    inside = J.within_batches(J.both_ways(sims(spark, d), members(spark, d)), nations)
+    return J.normalised(inside).select("i", "j", "batch", F.round("w", 9).alias("w"))
+
+
+@query(f"""WITH {FULL} SELECT i AS node, count(*) FILTER (sim > 0) AS degree FROM "full" GROUP BY i""")
+def sim_degrees(spark, d):
+    return J.degrees_of(J.both_ways(sims(spark, d), members(spark, d)))
+
+
 @query(f"WITH {SUPPLY}, deg AS (SELECT y_index AS node, count(*) AS degree FROM supply GROUP BY y_index) SELECT p_partkey AS node, round(0.7 * exp(-0.7 * coalesce(degree, 0)) + 0.2, 9) AS c FROM part LEFT JOIN deg ON node = p_partkey")
 def gate_coefficient(spark, d):
     nodes = T.nodes(spark, d).where("node_type = 'disease'").select(F.col("node_index").alias("node"))
@@ -395,11 +408,13 @@ def drug_vectors(spark, d):
 
 @query(f"""WITH {FULL}, {CELLS}, vec AS (SELECT vec_id + 10000000 AS node, pos, v FROM cells WHERE vec_id + 10000000 IN (SELECT node FROM members)),
 norm AS (SELECT i, j, sim / sum(sim) OVER (PARTITION BY i) AS w FROM "full"),
-near AS (SELECT i AS node, pos, sum(w * v) AS s FROM norm JOIN vec ON vec.node = j GROUP BY ALL)
-SELECT node, (vec.pos - 1)::INTEGER AS pos, round((0.7 * exp(-0.7 * (node % 5)) + 0.2) * s + (1 - (0.7 * exp(-0.7 * (node % 5)) + 0.2)) * v, 6) + 0.0 AS value FROM vec JOIN near USING (node, pos)""")
+near AS (SELECT i AS node, pos, sum(w * v) AS s FROM norm JOIN vec ON vec.node = j GROUP BY ALL),
+back AS (SELECT l_suppkey + 10000000 AS node, count(*) AS degree FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL),
+gates AS (SELECT m.node, 0.7 * exp(-0.7 * coalesce(degree, 0)) + 0.2 AS c FROM members m LEFT JOIN back USING (node))
+SELECT node, (vec.pos - 1)::INTEGER AS pos, round(c * s + (1 - c) * v, 6) + 0.0 AS value FROM vec JOIN near USING (node, pos) JOIN gates USING (node)""")
 def sim_aggregate(spark, d):
     m, vectors = members(spark, d), drug_vectors(spark, d)
-    out = J.blended(vectors, J.both_ways(sims(spark, d), m), m.select("node", (F.col("node") % 5).alias("degree")))
+    out = J.blended(vectors, J.both_ways(sims(spark, d), m), E.in_degree(T.raw_edges(spark, d)), T.PLACES)
     return out.select("node", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
@@ -408,7 +423,7 @@ def sim_aggregate(spark, d):
 
 def centroids(spark, d):
     vectors = T.table(spark, d, "embeddings").select(F.col("label").alias("rel_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return aggregate_vectors(vectors, ["rel_id"], "vector", "avg")
+    return aggregate_vectors(vectors, ["rel_id"], "vector", "avg", T.PLACES)
 
 
 def scored_pairs(spark, d):
@@ -499,11 +514,11 @@ def messages(spark, d):
 
 
 FAN = f"""e AS (SELECT DISTINCT src, dst FROM msg),
-hop0 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {H.format("'42|0|' || src || '|' || dst")}, src) AS k FROM e WHERE dst % 10 = 0) WHERE k <= 20)"""
+hop0 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {H.format("'42|0|' || src || '|' || dst")}, src) AS k FROM e) WHERE k <= 20)"""
 
 
 def seeds(spark, d):
-    return T.nodes(spark, d).where("node_type = 'disease' AND node_index % 10 = 0").select(F.col("node_index").alias("node"))
+    return T.nodes(spark, d).where("node_type = 'disease'").select(F.col("node_index").alias("node"))
 
 
 @query(f"WITH {MESSAGES}, {FAN} SELECT * FROM hop0")
@@ -512,7 +527,7 @@ def fanout_1hop(spark, d):
 
 
 @query(f"""WITH {MESSAGES}, two AS (SELECT src, dst FROM msg UNION SELECT dst, src FROM msg), e AS (SELECT DISTINCT src, dst FROM two),
-hop0 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {H.format("'42|0|' || src || '|' || dst")}, src) AS k FROM e WHERE dst % 10 = 0 AND dst < 10000000) WHERE k <= 20),
+hop0 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {H.format("'42|0|' || src || '|' || dst")}, src) AS k FROM e WHERE dst < 10000000) WHERE k <= 20),
 hop1 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {H.format("'42|1|' || src || '|' || dst")}, src) AS k FROM e WHERE dst IN (SELECT src FROM hop0)) WHERE k <= 10)
 SELECT 0 AS hop, src, dst FROM hop0 UNION ALL SELECT 1, src, dst FROM hop1""")
 def fanout_2hop(spark, d):
@@ -523,7 +538,7 @@ def fanout_2hop(spark, d):
 @query(f"""WITH {MESSAGES}, {CELLS}, sent AS (SELECT dst, rel_id, pos, v FROM msg JOIN cells ON vec_id + 10000000 = src)
 SELECT dst, rel_id, (pos - 1)::INTEGER AS pos, round(avg(v), 6) + 0.0 AS value FROM sent GROUP BY dst, rel_id, pos""")
 def rel_mean_aggregate(spark, d):
-    means = G.relation_means(messages(spark, d), drug_vectors(spark, d))
+    means = G.relation_means(messages(spark, d), drug_vectors(spark, d), T.PLACES)
     return means.select("dst", "rel_id", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
@@ -537,23 +552,25 @@ def attention_softmax(spark, d):
 SELECT rel_id, round(exp(s) / sum(exp(s)) OVER (), 6) AS beta FROM m""")
 def semantic_attention(spark, d):
     vectors = T.table(spark, d, "embeddings").select(F.col("label").alias("rel_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    size = 64
-    unit = [[1.0 if i == j else 0.0 for j in range(size)] for i in range(size)]
-    return G.semantic_weights(vectors, [1 / size] * size, unit, [0.0] * size).select("rel_id", F.round("beta", 6).alias("beta"))
+    return G.semantic_weights(vectors, [1 / T.PLACES] * T.PLACES, diagonal(1.0), [0.0] * T.PLACES).select("rel_id", F.round("beta", 6).alias("beta"))
 
 
 # Reports
 
 
-@query(f"""WITH p AS (SELECT lang AS dataset, (n_chars % 100) / 100.0::DOUBLE AS y_score, quality AS y_true FROM documents JOIN labels USING (doc_id)),
-r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY y_score) + (count(*) OVER (PARTITION BY dataset, y_score) - 1) / 2.0::DOUBLE AS rk FROM p)
-SELECT 'rules' AS model, dataset, round((sum(rk) FILTER (y_true = 1) - count(*) FILTER (y_true = 1) * (count(*) FILTER (y_true = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (y_true = 1) * count(*) FILTER (y_true = 0), 0)::DOUBLE, 9) AS auc,
-  round(count(*) FILTER ((y_score >= 0.5) = (y_true = 1)) / count(*)::DOUBLE, 9) AS accuracy FROM r WHERE dataset IN ('de', 'en', 'es', 'fr') GROUP BY dataset""")
+@query(f"""WITH p AS (SELECT coalesce(lang, 'none') AS dataset, (n_chars % 100) / 100.0::DOUBLE AS y_score, quality AS y_true FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY y_score) + (count(*) OVER (PARTITION BY dataset, y_score) - 1) / 2.0::DOUBLE AS rk, y_score >= 0.5 AS said, y_true = 1 AS truth FROM p),
+c AS (SELECT dataset, sum(rk) FILTER (truth) AS won, count(*) FILTER (truth) AS pos, count(*) FILTER (NOT truth) AS neg, count(*) AS n,
+  count(*) FILTER (said AND truth) AS tp, count(*) FILTER (said AND NOT truth) AS fp, count(*) FILTER (NOT said AND truth) AS fn FROM r GROUP BY dataset)
+SELECT 'rules' AS model, dataset, round((won - pos * (pos + 1) / 2.0::DOUBLE) / nullif(pos * neg, 0)::DOUBLE, 9) AS auc, round((n - fp - fn) / n::DOUBLE, 9) AS accuracy,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0.0 END, 9) AS f1, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END, 9) AS precision,
+  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END, 9) AS recall FROM c""")
 def model_summary_sorted(spark, d):
     rows = T.table(spark, d, "documents").select("doc_id", "n_chars", "lang").join(T.table(spark, d, "labels"), "doc_id")
-    preds = rows.select("lang", F.col("quality").alias("y_true"), (F.col("n_chars") % 100 / F.lit(100.0)).alias("y_score"))
-    out = M.summary([M.evaluate(preds.where(F.col("lang") == lang), "rules", lang) for lang in ("de", "en", "es", "fr")])
-    return out.select("model", "dataset", F.round("auc", 9).alias("auc"), F.round("accuracy", 9).alias("accuracy"))
+    preds = rows.select(F.coalesce("lang", F.lit("none")).alias("lang"), F.col("quality").alias("y_true"), (F.col("n_chars") % 100 / F.lit(100.0)).alias("y_score"))
+    langs = [r.lang for r in preds.select("lang").distinct().orderBy("lang").collect()]  # a model's datasets are few
+    out = M.summary([M.evaluate(preds.where(F.col("lang") == lang), "rules", lang) for lang in langs])
+    return out.select("model", "dataset", *[F.round(c, 9).alias(c) for c in ("auc", "accuracy", "f1", "precision", "recall")])
 
 
 @query("""WITH h AS (SELECT event_id % 40 AS epoch, round(avg(value), 6) AS value FROM events GROUP BY event_id % 40),
@@ -574,8 +591,7 @@ def shuffle_order(spark, d):
 
 @query()
 def coverage_sample(spark, d):
-    pairs = T.supply(spark, d).where("l_orderkey % 10 = 0").select("x_index", "y_index").distinct()
-    return S.coverage_sample(pairs)
+    return S.coverage_sample(T.supply(spark, d).select("x_index", "y_index").distinct())
 
 
 @query(f"""WITH {CELLS} SELECT a.vec_id, round(sum(a.v * b.v), 6) + 0.0 AS value FROM cells a JOIN cells b ON b.vec_id = a.vec_id + 1 AND b.pos = a.pos GROUP BY a.vec_id""")
@@ -606,16 +622,17 @@ def null_counts(spark, d):
     return R.null_counts(mapped(spark, d), ["x_index", "y_index", "DrugID"])
 
 
-SMALL = f"""{MESSAGES}, {CELLS},
-vec AS (SELECT s_suppkey + 10000000 AS node, pos, v FROM supplier JOIN cells ON vec_id = s_suppkey % 50 WHERE pos <= 4
-  UNION ALL SELECT p_partkey, pos, v FROM part JOIN cells ON vec_id = p_partkey % 50 WHERE pos <= 4)"""
+VECTORS = f"""{MESSAGES}, {CELLS},
+vec AS (SELECT s_suppkey + 10000000 AS node, pos, v FROM supplier JOIN cells ON vec_id = s_suppkey % (SELECT count(*) FROM embeddings)
+  UNION ALL SELECT p_partkey, pos, v FROM part JOIN cells ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
+place AS (SELECT unnest(range(1, 65)) AS i)"""
 
 
-def small_vectors(spark, d):
-    """The first four places of a vector for every drug and disease."""
-    vectors = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("vector"))
+def node_vectors(spark, d):
+    """A whole vector for every drug and disease."""
+    vectors = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("vector"))
     nodes = T.nodes(spark, d).where("node_type <> 'other'")
-    return nodes.join(vectors, F.col("node_id").cast("long") % 50 == F.col("v")).select(F.col("node_index").alias("node"), "vector")
+    return nodes.join(vectors, F.col("node_id").cast("long") % vectors.count() == F.col("v")).select(F.col("node_index").alias("node"), "vector")
 
 
 def cells_of(vectors):
@@ -623,34 +640,102 @@ def cells_of(vectors):
 
 
 def diagonal(x):
-    return [[x if i == j else 0.0 for j in range(4)] for i in range(4)]
+    return [[x if i == j else 0.0 for j in range(T.PLACES)] for i in range(T.PLACES)]
 
 
-@query(f"""WITH {SMALL}, means AS (SELECT dst, rel_id, pos, avg(v) AS m FROM msg JOIN vec ON node = src GROUP BY ALL),
-turned AS (SELECT dst AS node, CASE WHEN rel_id = ascii('N') THEN 5 - pos ELSE pos END AS pos, CASE WHEN rel_id = ascii('A') THEN 2 * m WHEN rel_id = ascii('N') THEN m ELSE -m END AS m FROM means),
-added AS (SELECT node, pos, sum(m) AS a FROM turned GROUP BY ALL)
-SELECT node, (pos - 1)::INTEGER AS pos, round(greatest(0.5 * v + 0.1 + coalesce(a, 0), 0.0), 6) + 0.0 AS value FROM vec LEFT JOIN added USING (node, pos)""")
-def relational_encoder(spark, d):
-    back = [[1.0 if i + j == 3 else 0.0 for j in range(4)] for i in range(4)]
-    weights = {ord("A"): diagonal(2.0), ord("N"): back, ord("R"): diagonal(-1.0)}
-    return cells_of(G.relational_layer(messages(spark, d), small_vectors(spark, d), diagonal(0.5), weights, [0.1] * 4))
+def mixing(a, rows=range(1, T.PLACES + 1)):
+    """A full matrix by rule: ((a i + 3 j) mod 11 - 5) / 50 in row i, column j, from 1."""
+    return [[((a * i + 3 * j) % 11 - 5) / 50.0 for j in range(1, T.PLACES + 1)] for i in rows]
 
 
-@query(f"""WITH {SMALL}, scored AS (SELECT src, dst, rel_id, sum(a.v * b.v) / 2 AS score FROM msg JOIN vec a ON a.node = src JOIN vec b ON b.node = dst AND b.pos = a.pos GROUP BY ALL),
-weighed AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY dst) AS w FROM scored),
-added AS (SELECT dst AS node, pos, sum(w * v) AS a FROM weighed JOIN vec ON node = src GROUP BY ALL)
-SELECT node, (pos - 1)::INTEGER AS pos, round(v + greatest(coalesce(a, 0), 0.0), 6) + 0.0 AS value FROM vec LEFT JOIN added USING (node, pos)""")
-def typed_attention_encoder(spark, d):
-    unit = {r: diagonal(1.0) for r in map(ord, "ANR")}
-    return cells_of(G.typed_attention(messages(spark, d), small_vectors(spark, d), unit, unit, diagonal(1.0), dict.fromkeys(unit, 1.0)))
+def mixed_sql(a, i, j):
+    return f"((({a}) * {i} + 3 * {j}) % 11 - 5) / 50.0::DOUBLE"
+
+
+def relational_sql(source, out):
+    return f"""{out}_means AS (SELECT dst, rel_id, pos, avg(v) AS m FROM msg JOIN {source} ON node = src GROUP BY ALL),
+{out}_turned AS (SELECT dst AS node, i AS pos, sum(CASE rel_id WHEN ascii('A') THEN {mixed_sql(7, "i", "pos")} WHEN ascii('N') THEN {mixed_sql(5, "i", "pos")} ELSE (i = pos)::INT * -1.0 END * m) AS m
+  FROM {out}_means CROSS JOIN place GROUP BY ALL),
+{out}_raw AS (SELECT node, s.pos, 0.5 * s.v + 0.1 + coalesce(m, 0) AS x FROM {source} s LEFT JOIN {out}_turned USING (node, pos)),
+{out} AS (SELECT node, pos, greatest((x - 0.1) / sqrt(1.5 + pos / 64.0::DOUBLE + 0.00001) * 1.2 + 0.05, 0.0) AS v FROM {out}_raw)"""
 
 
-@query(f"""WITH {SMALL}, raw AS (SELECT src, dst, rel_id, sum(a.v - b.v) AS s FROM msg JOIN vec a ON a.node = src JOIN vec b ON b.node = dst AND b.pos = a.pos GROUP BY ALL),
-weighed AS (SELECT *, exp(CASE WHEN s > 0 THEN s ELSE 0.2 * s END) / sum(exp(CASE WHEN s > 0 THEN s ELSE 0.2 * s END)) OVER (PARTITION BY dst, rel_id) AS w FROM raw),
-by_rel AS (SELECT dst, rel_id, pos, sum(w * v) AS z FROM weighed JOIN vec ON node = src GROUP BY ALL),
-sem AS (SELECT rel_id, avg(t) AS s FROM (SELECT dst, rel_id, sum(tanh(z)) AS t FROM by_rel GROUP BY ALL) GROUP BY rel_id),
+@query(f"""WITH {VECTORS}, {relational_sql("vec", "one")}, {relational_sql("one", "two")}
+SELECT node, (pos - 1)::INTEGER AS pos, round(v, 6) + 0.0 AS value FROM two""")
+def relational_encoder(spark, d):
+    weights = {ord("A"): mixing(7), ord("N"): mixing(5), ord("R"): diagonal(-1.0)}
+    norm = {"mean": [0.1] * T.PLACES, "var": [1.5 + i / 64 for i in range(1, T.PLACES + 1)], "gamma": [1.2] * T.PLACES, "beta": [0.05] * T.PLACES}
+    layer = {"root": diagonal(0.5), "weights": weights, "bias": [0.1] * T.PLACES, "norm": norm}
+    return cells_of(G.relational_encoder(messages(spark, d), node_vectors(spark, d), [layer, layer]))
+
+
+def typed_sql(source, out):
+    rel = "CASE rel_id WHEN ascii('A') THEN 2 WHEN ascii('N') THEN 4 ELSE 6 END"
+    return f"""{out}_rels AS (SELECT DISTINCT rel_id FROM msg),
+{out}_q AS (SELECT node, (i - 1) // 32 AS head, i, sum({mixed_sql(1, "i", "pos")} * v) AS q FROM {source} CROSS JOIN place GROUP BY ALL),
+{out}_kv AS (SELECT node, rel_id, (i - 1) // 32 AS head, i, sum({mixed_sql(f"{rel}", "i", "pos")} * v) AS k, sum({mixed_sql(f"{rel} + 1", "i", "pos")} * v) AS w FROM {source} CROSS JOIN place CROSS JOIN {out}_rels GROUP BY ALL),
+{out}_scored AS (SELECT src, dst, msg.rel_id, a.head, sum(q * k * (1 + a.head * 0.5::DOUBLE)) / sqrt(32.0::DOUBLE) AS score
+  FROM msg JOIN {out}_kv a ON a.node = src AND a.rel_id = msg.rel_id JOIN {out}_q b ON b.node = dst AND b.i = a.i GROUP BY ALL),
+{out}_weighed AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY dst, head) AS w FROM {out}_scored),
+{out}_added AS (SELECT dst AS node, i AS pos, sum(x.w * a.w) AS a FROM {out}_weighed x JOIN {out}_kv a ON a.node = src AND a.rel_id = x.rel_id AND a.head = x.head GROUP BY ALL),
+{out} AS (SELECT node, pos, v + greatest(coalesce(a, 0), 0.0) AS v FROM {source} LEFT JOIN {out}_added USING (node, pos))"""
+
+
+@query(f"""WITH {VECTORS}, {typed_sql("vec", "one")}, {typed_sql("one", "two")}
+SELECT node, (pos - 1)::INTEGER AS pos, round(v, 6) + 0.0 AS value FROM two""")
+def typed_attention_encoder(spark, d):
+    kinds = {ord("A"): 2, ord("N"): 4, ord("R"): 6}
+    heads = []
+    for h in (0, 1):
+        own = range(32 * h + 1, 32 * h + 33)
+        heads.append({"query": mixing(1, own), "keys": {r: mixing(a, own) for r, a in kinds.items()}, "values": {r: mixing(a + 1, own) for r, a in kinds.items()}, "prior": dict.fromkeys(kinds, 1 + h * 0.5)})
+    return cells_of(G.typed_encoder(messages(spark, d), node_vectors(spark, d), [heads, heads]))
+
+
+@query(f"""WITH {VECTORS}, heads AS (SELECT unnest(range(1, 5)) AS head),
+seen AS (SELECT node, head, i AS pos, sum({mixed_sql("head + 1", "i", "pos")} * v) AS v FROM vec CROSS JOIN place CROSS JOIN heads GROUP BY ALL),
+ends AS (SELECT node, head, sum(v) AS a, sum(v * -0.5 * head) AS b FROM seen GROUP BY ALL),
+raw AS (SELECT src, dst, rel_id, x.head, x.a + y.b AS s FROM msg JOIN ends x ON x.node = src JOIN ends y ON y.node = dst AND y.head = x.head),
+leaky AS (SELECT src, dst, rel_id, head, CASE WHEN s > 0 THEN s ELSE 0.2 * s END AS s FROM raw),
+weighed AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS w FROM leaky WINDOW w AS (PARTITION BY dst, rel_id, head)),
+by_head AS (SELECT dst, rel_id, x.head, pos, sum(w * v) AS z FROM weighed x JOIN seen y ON y.node = src AND y.head = x.head GROUP BY ALL),
+by_rel AS (SELECT dst, rel_id, pos, avg(z) AS z FROM by_head GROUP BY ALL),
+turned AS (SELECT dst, rel_id, i, tanh(sum({mixed_sql(9, "i", "pos")} * z) + 0.01) AS t FROM by_rel CROSS JOIN place GROUP BY ALL),
+sem AS (SELECT rel_id, avg(t) AS s FROM (SELECT dst, rel_id, sum(t) / 8 AS t FROM turned GROUP BY ALL) GROUP BY rel_id),
 beta AS (SELECT rel_id, exp(s) / sum(exp(s)) OVER () AS beta FROM sem),
 mixed AS (SELECT dst AS node, pos, sum(beta * z) AS m FROM by_rel JOIN beta USING (rel_id) GROUP BY ALL)
 SELECT node, (pos - 1)::INTEGER AS pos, round(CASE WHEN m IS NULL THEN v ELSE greatest(m, 0.0) END, 6) + 0.0 AS value FROM vec LEFT JOIN mixed USING (node, pos)""")
 def heterogeneous_encoder(spark, d):
-    return cells_of(G.heterogeneous_attention(messages(spark, d), small_vectors(spark, d), [1.0] * 4, [-1.0] * 4, [1.0] * 4, diagonal(1.0), [0.0] * 4))
+    heads = [{"project": mixing(h + 1), "to": [1.0] * T.PLACES, "own": [-0.5 * h] * T.PLACES} for h in range(1, 5)]
+    return cells_of(G.heterogeneous_attention(messages(spark, d), node_vectors(spark, d), heads, [1 / 8] * T.PLACES, mixing(9), [0.01] * T.PLACES))
+
+
+# Ontology
+
+
+@query(r"""WITH term AS (SELECT p_partkey AS ord, 'MONDO_' || lpad(p_partkey::VARCHAR, 7, '0') AS id, p_partkey % 5 AS kind FROM part),
+raw AS (
+  SELECT ord, id, 0 AS i, 'D' || lpad((ord % 997)::VARCHAR, 6, '0') AS raw FROM term WHERE kind IN (0, 1)
+  UNION ALL SELECT ord, id, 1, 'C' || ord FROM term WHERE kind = 1
+  UNION ALL SELECT ord, id, 0, 'D' || lpad((ord % 499)::VARCHAR, 6, '0') FROM term WHERE kind = 2),
+short AS (SELECT *, CASE WHEN raw LIKE 'D%' THEN ltrim(replace(raw, 'D', ''), '0') ELSE ltrim(raw, '0') END AS s FROM raw),
+keys AS (SELECT ord, i, k, list_extract([raw, 'D' || CASE WHEN length(s) >= 6 THEN s ELSE lpad(s, 6, '0') END, s], k + 1) AS key, ltrim(split_part(id, '_', 2), '0') AS mondo
+  FROM (SELECT *, unnest([0, 1, 2]) AS k FROM short)),
+kept AS (SELECT * FROM keys WHERE key <> '' AND mondo <> '')
+SELECT key, arg_max(mondo, (ord, i, k)) AS mondo FROM kept GROUP BY key""")
+def ontology_crosswalk(spark, d):
+    return R.crosswalk(ontology(spark, d))
+
+
+def ontology(spark, d):
+    """Ontology terms from the parts, nested as a reader of ontologies returns them."""
+    part = T.table(spark, d, "part").select(F.col("p_partkey").alias("n"), (F.col("p_partkey") % 5).alias("kind"))
+    digits = lambda c: F.lpad(c.cast("string"), 6, "0")
+    ref = lambda c: F.struct(c.alias("val"))
+    mesh = ref(F.concat(F.lit("MESH:D"), digits(F.col("n") % 997)))
+    xrefs = F.when(F.col("kind") == 0, F.array(mesh)).when(F.col("kind") == 1, F.array(mesh, ref(F.concat(F.lit("MESH:C"), "n")), ref(F.lit("OMIM:1"))))
+    value = lambda pred, val: F.struct(F.lit(pred).alias("pred"), val.alias("val"))
+    term = F.concat(F.lit("http://id.nlm.nih.gov/mesh/D"), digits(F.col("n") % 499))
+    values = F.when(F.col("kind") == 2, F.array(value("skos#exactMatch", term), value("skos#closeMatch", term), value("skos#exactMatch", F.lit("http://x/C1"))))
+    meta = F.when(F.col("kind") < 4, F.struct(xrefs.alias("xrefs"), values.alias("basicPropertyValues")))
+    return part.select(F.col("n").alias("ord"), F.concat(F.lit(R.MONDO), F.lpad(F.col("n").cast("string"), 7, "0")).alias("id"), meta.alias("meta"))

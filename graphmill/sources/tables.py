@@ -12,6 +12,8 @@ LABELLED = f"{EDGES}, label int"
 MAPPING = "DrugID string, DiseaseID string"
 ONTOLOGY = "graphs array<struct<nodes array<struct<id:string,meta:struct<xrefs:array<struct<val:string>>,basicPropertyValues:array<struct<pred:string,val:string>>>>>>>"
 DRUGS, OTHERS = 10_000_000, 20_000_000
+#: Size of the vectors in embeddings.
+PLACES = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,17 +80,17 @@ def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supply edges with the first line of each order also the other way round,
-    and purchases customer - part of every 20th order."""
+    and the purchases customer - part of all orders."""
     lines = supply(spark, sf_dir)
     back = lines.where("l_linenumber = 1").select("relation", F.col("y_index").alias("x_index"), F.col("x_index").alias("y_index"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey") + OTHERS)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey") + OTHERS)
     bought = lines.join(orders.toDF("l_orderkey", "customer"), "l_orderkey").select(F.lit("purchased").alias("relation"), F.col("customer").alias("x_index"), "y_index")
     return lines.select("relation", "x_index", "y_index").unionByName(back).unionByName(bought)
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External pairs: drug and disease ids as text, some of which are unknown."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     drug = F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("X"), "l_suppkey")).otherwise(F.col("l_suppkey").cast("string"))
     disease = F.concat(F.lit("MESH:D"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"))
     return lines.select(drug.alias("DrugID"), F.when(F.col("l_suppkey") % 11 == 0, F.concat(F.lit("OMIM:"), "l_partkey")).otherwise(disease).alias("DiseaseID"))

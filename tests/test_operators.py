@@ -12,6 +12,7 @@ from graphmill.operators import reconcile as R
 from graphmill.operators import sampling as S
 from graphmill.operators import similarity as J
 from graphmill.operators import training as Tr
+from graphmill.sources import artefacts as A
 from graphmill.sources import tables as T
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -78,12 +79,33 @@ def test_cold_nodes(spark):
     assert rows(S.cold_nodes(edges, positives_only=True)) == [(5, 1), (6, 3), (7, 2)]
 
 
-def test_coverage_sample(spark):
-    pairs = spark.createDataFrame([(x, y) for x in range(20) for y in range(30)], "x_index long, y_index long")
-    found = rows(S.coverage_sample(pairs, size=40))
-    assert len(found) == len(set(found)) == 40 and found == rows(S.coverage_sample(pairs.repartition(7), size=40))
-    assert len({x for x, _ in found}) == 20 and len({y for _, y in found}) > 10
-    assert rows(S.coverage_sample(pairs.limit(5), size=40)) == rows(pairs.limit(5))
+def plain_walk(ordered, size, share=0.9):
+    """The greedy rule over all rows in order."""
+    seen, taken, turn, pool = (set(), set()), [], 0, list(ordered)
+    while len(taken) < size and pool:
+        rest, took = [], False
+        for row in pool:
+            new = row[0] not in seen[0], row[1] not in seen[1]
+            if len(taken) < size and (new[turn] or (new[1 - turn] and len(taken) < share * size)):
+                taken.append(row)
+                seen[0].add(row[0])
+                seen[1].add(row[1])
+                turn, took = 1 - turn, True
+            else:
+                rest.append(row)
+        pool = rest
+        if not took:
+            return taken + pool[: size - len(taken)]
+    return taken
+
+
+@pytest.mark.parametrize(("xs", "ys", "size", "fetch"), [(20, 30, 40, 7), (200, 15, 60, 5), (9, 300, 100, 50), (40, 40, 500, 3), (3, 2, 40, 2)])
+def test_coverage_sample_is_the_walk_over_all_rows(spark, xs, ys, size, fetch):
+    rng = np.random.default_rng(xs)
+    pairs = sorted({(int(x), int(y)) for x, y in zip(rng.integers(0, xs, 400), rng.integers(0, ys, 400))})
+    df = spark.createDataFrame([*pairs, (None, 1)], "x_index long, y_index long").repartition(3)
+    order = E.shuffled(df.dropna(), ["x_index", "y_index"], 42).collect()
+    assert rows(S.coverage_sample(df, size=size, fetch=fetch)) == sorted(plain_walk([tuple(r) for r in order], size), key=repr)
 
 
 ONTOLOGY = """{"graphs": [{"nodes": [
@@ -164,6 +186,12 @@ def test_single_class_and_threshold(spark):
     df = preds(spark, [(1, 0.5), (1, 0.9)])
     assert M.auc_by_rank(df).first().auc is None and M.auc_by_rank(df, 0.5).first().auc == 0.5
     assert M.confusion(df).first().recall == 1.0 and M.confusion(df, inclusive=False).first().recall == 0.5
+    for label in (0, 1):
+        one = spark.createDataFrame([(label, 0.2), (label, 0.7)], "y_true int, y_score double")
+        assert M.auc_by_area(one).first().auc is None and M.auc_by_area(one, 0.5).first().auc == 0.5 == M.auc_by_rank(one, 0.5).first().auc
+        points = M.roc_points(one).collect()
+        assert len(points) >= 2 and all((p.tpr if label else p.fpr) is not None and (p.fpr if label else p.tpr) is None for p in points)
+    assert M.auc_by_area(one.limit(0)).first().auc is None and M.roc_points(one.limit(0)).count() == 1
 
 
 def test_roc(spark):
@@ -209,9 +237,10 @@ def test_attention_layers(spark):
     w = np.exp(e) / np.exp(e).sum()
     assert np.allclose(by[3, 0], w[0] * np.array(h[1]) + w[1] * np.array(h[2])) and np.allclose(by[1, 1], h[2])
     unit = [[1.0, 0.0], [0.0, 1.0]]
-    out = dict(rows(G.heterogeneous_attention(messages, vectors_of(spark, h), to, own, [1.0, 1.0], unit, [0.0, 0.0])))
+    out = dict(rows(G.heterogeneous_attention(messages, vectors_of(spark, h), [{"project": unit, "to": to, "own": own}], [1.0, 1.0], unit, [0.0, 0.0])))
     assert out[2] == h[2]
-    typed = dict(rows(G.typed_attention(messages, vectors_of(spark, h), {0: unit, 1: unit}, {0: unit, 1: unit}, unit, {0: 1.0, 1: 1.0})))
+    head = {"query": unit, "keys": {0: unit, 1: unit}, "values": {0: unit, 1: unit}, "prior": {0: 1.0, 1: 1.0}}
+    typed = dict(rows(G.typed_attention(messages, vectors_of(spark, h), [head])))
     assert typed[2] == h[2] and np.allclose(typed[1], np.array(h[1]) + h[2]) and np.allclose(typed[3], np.array(h[3]) + 0.5)
 
 
@@ -242,3 +271,58 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="missing columns"):
         T.require(df, ["z"])
     assert T.newest(spark, f"{path}/*.csv").endswith(".csv")
+
+
+def test_bundle_and_reuse(spark, tmp_path):
+    sim = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5), (1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (1, 3, 0.0)], "i long, j long, sim double")
+    A.save_bundle(sim, spark.createDataFrame([(1, 0), (2, 1), (4, 2)], "node long, local long"), f"{tmp_path}/b")
+    loaded, members = A.load_bundle(spark, f"{tmp_path}/b")
+    assert rows(loaded) == rows(sim) and rows(members.select("node", "degree")) == [(1, 2), (2, 2), (4, 0)]
+    with pytest.raises(FileNotFoundError, match="no table"):
+        A.load_bundle(spark, f"{tmp_path}/none")
+    calls = []
+    for _ in range(2):
+        out = A.reused(spark, f"{tmp_path}/stage", lambda: calls.append(1) or spark.range(3))
+    assert out.count() == 3 and calls == [1] and A.first_found(spark, f"{tmp_path}/no", f"{tmp_path}/stage").count() == 3
+
+
+def test_evaluation_artefacts(spark, tmp_path):
+    preds = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, 0.4), (0, 0.6)], "y_true int, y_score double")
+    row = M.evaluate(preds, "m", "d")
+    A.save_evaluation(preds, row, str(tmp_path), ("auc", "accuracy"), dataset=True)
+    assert [r.value for r in spark.read.text(f"{tmp_path}/metrics").collect()] == ["Dataset: d", "auc: 0.750000", "accuracy: 0.500000"]
+    assert spark.read.csv(f"{tmp_path}/raw_pred", header=True).count() == 4
+    assert [float(r.tpr) for r in spark.read.csv(f"{tmp_path}/roc", header=True).collect()][-1] == 1.0
+    assert A.named_copy("a/test.csv") == "a/test_llm.csv"
+
+    def broken():
+        raise FileNotFoundError("no weights")
+
+    good, failed = A.each_model({"x": broken, "m": lambda: row})
+    assert len(good) == 1 and failed == {"x": "no weights"}
+
+
+def test_batches(spark):
+    edges = spark.createDataFrame([(i, 100 + i % 7) for i in range(60)], "src long, dst long")
+    batched = G.batches(edges.toDF("x_index", "y_index"), ["x_index", "y_index"], 20)
+    assert {r.batch for r in batched.collect()} == {0, 1, 2}
+    near = G.batch_neighbourhood(edges, batched, [3, 2]).collect()
+    seeds = {(r.batch, n) for r in batched.collect() for n in (r.x_index, r.y_index)}
+    assert all((r.batch, r.dst) in seeds for r in near if r.hop == 0)
+    per = {}
+    for r in near:
+        per[r.batch, r.hop, r.dst] = per.get((r.batch, r.hop, r.dst), 0) + 1
+    assert per and all(n <= (3, 2)[hop] for (_, hop, _), n in per.items())
+
+
+def test_batch_norm_and_layers(spark):
+    h = {1: [1.0, 2.0], 2: [3.0, -1.0]}
+    messages = spark.createDataFrame([(1, 2, 0)], "src long, dst long, rel_id long")
+    norm = {"mean": [0.5, 0.0], "var": [4.0, 1.0], "gamma": [1.0, 2.0], "beta": [0.0, 0.25]}
+    layer = {"root": [[1, 0], [0, 1]], "weights": {0: [[0, 1], [1, 0]]}, "bias": [0.0, 0.5], "norm": norm}
+    want = {k: np.array(v) for k, v in h.items()}
+    for _ in range(2):
+        raw = {k: v + np.array([0, 0.5]) + (want[1][::-1] if k == 2 else 0) for k, v in want.items()}
+        want = {k: np.maximum((v - norm["mean"]) / np.sqrt(np.array(norm["var"]) + 1e-5) * norm["gamma"] + norm["beta"], 0) for k, v in raw.items()}
+    found = dict(rows(G.relational_encoder(messages, vectors_of(spark, h), [layer, layer])))
+    assert all(np.allclose(found[k], want[k]) for k in h)
