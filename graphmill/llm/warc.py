@@ -10,10 +10,11 @@ Records with equal payloads: that with the smallest page_id is the response,
 the others are revisits that refer to it. Digests are aggregated with map-side
 combining. A digest held by over 1/HOT of all rows (there are at most HOT of
 them) is joined by broadcast; every other digest by a shuffled join, in which
-no key then holds more than 1/HOT of the rows.
+no key then holds more than 1/HOT of the rows. Record ids are unique to archive and place;
+a page's id, which may repeat, has a field of its own.
 
 Defined results: null html is the empty payload; a null url becomes the
-record's own URN; rows tied on the smallest page_id of their payload are all
+record's own URN; ids are cast to long (text that is no number is an error); rows tied on the smallest page_id of their payload are all
 responses; a null page_id orders after all others; an empty table gives an empty
 result. Only the named columns are read.
 """
@@ -66,9 +67,9 @@ def sha1_32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One WARC record, uncompressed."""
-    urn = f"urn:page:{'null' if page_id is None else page_id}"
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, place: str = "") -> bytes:
+    """One WARC record, uncompressed; place, unique to it, makes its id unique."""
+    urn = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, place)}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     fields = {
@@ -79,9 +80,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         "Content-Type": "application/http; msgtype=response",
         "WARC-Payload-Digest": f"sha1:{sha1_32(payload)}",
         "WARC-Block-Digest": f"sha1:{sha1_32(block)}",
+        "Page-Id": "null" if page_id is None else str(page_id),
     }
     if refers_to is not None:
-        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{refers_to}>"}
+        fields |= {"WARC-Profile": PROFILE, "Refers-To-Page-Id": str(refers_to)}
     fields["Content-Length"] = str(len(block))
     head = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
     return f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
@@ -105,7 +107,7 @@ def archive_writer(folder: str, date: str, level: int, max_bytes: int):
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     sink = system.open_output_stream(f"{inner}/{name}", compression=None)
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                member = packer.compress(record(page_id, url, payload, refers_to, date)) + packer.flush()
+                member = packer.compress(record(page_id, url, payload, refers_to, date, f"{name}#{n}")) + packer.flush()
                 sink.write(member)
                 n, size = n + 1, size + len(member)
                 if size >= max_bytes:
@@ -164,11 +166,8 @@ def fields_of(head: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
 
 
-def urn_id(value: str) -> int | None:
-    found = re.fullmatch(r"<?urn:page:(-?\d+|null)>?", value)
-    if not found:
-        raise ValueError(f"not a page's URN: {value}")
-    return None if found[1] == "null" else int(found[1])
+def page_id_of(value: str) -> int | None:
+    return None if value == "null" else int(value)
 
 
 def read_records(source) -> Iterator[dict]:
@@ -201,9 +200,9 @@ def read_records(source) -> Iterator[dict]:
         if not revisit and stated != n:
             raise ValueError(f"payload length differs in {head['warc-record-id']}")
         yield {
-            "page_id": urn_id(head["warc-record-id"]), "url": head["warc-target-uri"], "payload_bytes": stated,
+            "page_id": page_id_of(head["page-id"]), "url": head["warc-target-uri"], "payload_bytes": stated,
             "payload_digest": digest, "record_type": head["warc-type"],
-            "refers_to": urn_id(head["warc-refers-to"]) if revisit else None,
+            "refers_to": page_id_of(head["refers-to-page-id"]) if revisit else None,
         }
 
 
