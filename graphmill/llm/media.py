@@ -2,19 +2,21 @@
 
 A payload of bytes is stored losslessly as an 8-bit grey image (PNG, WIDTH
 samples a row). Each writing task streams its images into ZIP archives of its
-own below a shared folder and returns a manifest row per archive; archives of
-failed attempts are in no manifest.
-
-The data source "media_archive" lists archives and cuts each into byte ranges of
-range_bytes. A reading task fetches the archive's central directory, takes the
-members whose header starts inside its range, and reads each on its own, by its
-offset: a failed or corrupt read of a member is tried again without touching
+own below a shared folder, with an index of offsets, sizes and checksums beside
+each, and returns a manifest row for every range of about range_bytes: where it
+starts and ends, and which part of the index is its own. Archives of failed
+attempts are in no manifest.
+
+The data source "media_archive" plans a partition for each of these byte ranges.
+A reading task fetches its part of the index and reads each member on its own, by
+its offset: a failed or corrupt read of a member is tried again without touching
 the others. Rows leave in Arrow batches of at most BATCH bytes of payload or one
-member. No shuffle; memory per task is bounded by one batch and the largest
-member.
+member. No shuffle; memory per task is bounded by one batch, the largest member
+and, while writing, the directory of an archive of at most MEMBERS_MOST members.
 
 Defined results: a null text is the empty payload, which is padded to one row;
-a null doc_id comes back null; repeated rows are members of their own; equal
+a null doc_id comes back null, ids are cast to long (text that is no number is an
+error); repeated rows are members of their own; equal
 payloads have equal stored bytes; an empty table gives an empty result. Only
 the named columns are read.
 """
@@ -32,19 +34,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSelector
+from pyarrow import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from graphmill.llm.shared import file_system, scratch, small_batches, text_of, written
+from graphmill.llm.shared import file_system, scratch, small_batches, text_of
 
 WIDTH = 576
 PAD = b"\xff"
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 BATCH = 4 << 20
 TRIES = 4
-MANIFEST = "archive string, n_members long, n_bytes long"
+MEMBERS_MOST = 50_000
+RANGE = 16 << 20
+MANIFEST = "archive string, start long, end long, index_start long, n_members long"
+#: What the index has of a member.
+INDEX = np.dtype([("offset", "<i8"), ("size", "<i8"), ("crc", "<u4"), ("doc_id", "<i8"), ("null", "?")])
 MEMBERS = "archive string, offset long, doc_id long, media binary"
 
 
@@ -90,35 +96,57 @@ def from_png(data: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
-def archive_writer(folder: str, max_bytes: int):
+class ArchiveSink:
+    """One archive while it is written, and its index."""
+
+    def __init__(self, folder: str, range_bytes: int):
+        system, inner = file_system(folder)
+        name = f"{uuid.uuid4().hex}.zip"
+        self.path, self.range_bytes = f"{folder}/{name}", range_bytes
+        self.sink, self.index = system.open_output_stream(f"{inner}/{name}"), system.open_output_stream(f"{inner}/{name}.index")
+        self.archive = zipfile.ZipFile(Appending(self.sink), "w", zipfile.ZIP_STORED, allowZip64=True)
+        self.n, self.start, self.entries, self.rows = 0, 0, [], []
+
+    def add(self, doc_id: int | None, image: bytes) -> None:
+        member = zipfile.ZipInfo(f"{self.n:09d}-{'null' if doc_id is None else doc_id}.png")
+        self.archive.writestr(member, image)
+        self.entries.append((member.header_offset, member.compress_size, member.CRC, doc_id or 0, doc_id is None))
+        self.n += 1
+        if self.sink.tell() - self.start >= self.range_bytes:
+            self.close_range()
+
+    def close_range(self) -> None:
+        end = self.sink.tell()
+        self.rows.append({"archive": self.path, "start": self.start, "end": end, "index_start": self.index.tell(), "n_members": len(self.entries)})
+        self.index.write(np.array(self.entries, INDEX).tobytes())
+        self.start, self.entries = end, []
+
+    def closed(self) -> pa.RecordBatch:
+        if self.entries:
+            self.close_range()
+        self.archive.close()
+        self.sink.close()
+        self.index.close()
+        schema = pa.schema([("archive", pa.string()), *((c, pa.int64()) for c in ("start", "end", "index_start", "n_members"))])
+        return pa.RecordBatch.from_pylist(self.rows, schema)
+
+
+def archive_writer(folder: str, max_bytes: int, range_bytes: int):
     """For mapInArrow: (doc_id, payload) -> manifest rows."""
-    schema = pa.schema([("archive", pa.string()), ("n_members", pa.int64()), ("n_bytes", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = file_system(folder)
         system.create_dir(inner, recursive=True)
-        name, sink, archive, n = "", None, None, 0
-
-        def closed() -> pa.RecordBatch:
-            archive.close()
-            size = sink.tell()
-            sink.close()
-            return pa.RecordBatch.from_pylist([{"archive": f"{folder}/{name}", "n_members": n, "n_bytes": size}], schema)
-
+        out = None
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if archive is None:
-                    name, n = f"{uuid.uuid4().hex}.zip", 0
-                    sink = system.open_output_stream(f"{inner}/{name}")
-                    archive = zipfile.ZipFile(Appending(sink), "w", zipfile.ZIP_STORED, allowZip64=True)
-                member = zipfile.ZipInfo(f"{n:09d}-{'null' if doc_id is None else doc_id}.png")
-                archive.writestr(member, to_png(padded(data.as_py() or b"")))
-                n += 1
-                if sink.tell() >= max_bytes:
-                    yield closed()
-                    archive = None
-        if archive is not None:
-            yield closed()
+                out = out or ArchiveSink(folder, range_bytes)
+                out.add(doc_id, to_png(padded(data.as_py() or b"")))
+                if out.sink.tell() >= max_bytes or out.n >= MEMBERS_MOST:
+                    yield out.closed()
+                    out = None
+        if out is not None:
+            yield out.closed()
 
     return write
 
@@ -138,50 +166,48 @@ class Appending(io.RawIOBase):
 
 
 class ByteRange(InputPartition):
-    """Members of one archive whose headers start at start up to end."""
+    """The members of one archive from start up to end, by their part of the index."""
 
-    def __init__(self, archive: str, start: int, end: int):
-        super().__init__((archive, start, end))
-        self.archive, self.start, self.end = archive, start, end
+    def __init__(self, archive: str, start: int, end: int, index_start: int, n_members: int):
+        super().__init__((archive, start, end, index_start, n_members))
+        self.archive, self.index_start, self.n_members = archive, index_start, n_members
 
 
-def member_at(source, info: zipfile.ZipInfo) -> bytes:
+def member_at(source, offset: int, size: int, crc: int) -> bytes:
     """One stored member by its header's offset, checked."""
-    head = source.read_at(30, info.header_offset)
+    head = source.read_at(30, offset)
     if head[:4] != b"PK\x03\x04":
         raise ValueError("no member starts here")
     name, extra = struct.unpack_from("<HH", head, 26)
-    data = source.read_at(info.compress_size, info.header_offset + 30 + name + extra)
-    if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
+    data = source.read_at(size, offset + 30 + name + extra)
+    if len(data) != size or zlib.crc32(data) != crc:
         raise ValueError("member is cut short or corrupt")
     return data
 
 
-def with_retries(open_source, info: zipfile.ZipInfo, archive: str, pause: float = 0.2) -> bytes:
+def with_retries(open_source, member: tuple[int, int, int], archive: str, pause: float = 0.2) -> bytes:
     """member_at(), tried again on a newly opened archive where it fails."""
     for attempt in range(TRIES):
         try:
             with open_source() as source:
-                return member_at(source, info)
+                return member_at(source, *member)
         except (OSError, ValueError) as error:
             if attempt == TRIES - 1:
-                raise OSError(f"{archive}, member at {info.header_offset}: {error}") from error
+                raise OSError(f"{archive}, member at {member[0]}: {error}") from error
             time.sleep(pause * 2**attempt)
     raise AssertionError
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, folder: str, archives: set[str] | None, range_bytes: int):
-        self.folder, self.archives, self.range_bytes = folder, archives, range_bytes
+    def __init__(self, manifest: str):
+        self.manifest = manifest
 
     def partitions(self) -> list[ByteRange]:
-        system, inner = file_system(self.folder)
-        found = []
-        for info in system.get_file_info(FileSelector(inner, allow_not_found=True)):
-            if info.extension == "zip" and (self.archives is None or info.base_name in self.archives):
-                cuts = range(0, info.size, self.range_bytes)
-                found += [ByteRange(f"{self.folder}/{info.base_name}", a, min(a + self.range_bytes, info.size)) for a in cuts]
-        return found or [ByteRange("", 0, 0)]
+        """One for each row of the manifest, as many as there are tasks."""
+        system, inner = file_system(self.manifest)
+        rows = dataset.dataset(inner, filesystem=system, format="parquet", schema=pa.schema([("archive", pa.string()), *((c, pa.int64()) for c in ("start", "end", "index_start", "n_members"))])).to_table()
+        found = [ByteRange(**r) for r in rows.to_pylist()]
+        return found or [ByteRange("", 0, 0, 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
@@ -191,17 +217,17 @@ class ArchiveReader(DataSourceReader):
         def opened():
             return system.open_input_file(inner)
 
-        with opened() as source, zipfile.ZipFile(source) as directory:
-            mine = [x for x in directory.infolist() if partition.start <= x.header_offset < partition.end]
+        with system.open_input_file(f"{inner}.index") as index:
+            entries = np.frombuffer(index.read_at(partition.n_members * INDEX.itemsize, partition.index_start), INDEX)
+        with opened() as source:
             rows: list[tuple] = []
             held = 0
-            for info in sorted(mine, key=lambda x: x.header_offset):
+            for offset, size, crc, doc_id, null in entries.tolist():
                 try:
-                    media = member_at(source, info)
+                    media = member_at(source, offset, size, crc)
                 except (OSError, ValueError):
-                    media = with_retries(opened, info, partition.archive)
-                name = info.filename.removesuffix(".png").split("-", 1)[1]
-                rows.append((partition.archive, info.header_offset, None if name == "null" else int(name), media))
+                    media = with_retries(opened, (offset, size, crc), partition.archive)
+                rows.append((partition.archive, offset, None if null else doc_id, media))
                 held += len(media)
                 if held >= BATCH:
                     yield as_batch(rows)
@@ -217,8 +243,7 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class MediaArchive(DataSource):
-    """Options: path (folder of archives), archives (comma-joined names;
-    default: all), range_bytes."""
+    """Option manifest: the folder of a manifest written by write_archives()."""
 
     @classmethod
     def name(cls) -> str:
@@ -228,26 +253,22 @@ class MediaArchive(DataSource):
         return MEMBERS
 
     def reader(self, schema) -> ArchiveReader:
-        names = self.options.get("archives")
-        return ArchiveReader(self.options["path"].rstrip("/"), set(names.split(",")) if names else None, int(self.options.get("range_bytes", 16 << 20)))
+        return ArchiveReader(self.options["manifest"])
 
 
-def write_archives(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", max_archive_bytes: int = 1 << 30) -> DataFrame:
-    """Store every text as an image; returns the manifest."""
+def write_archives(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", max_archive_bytes: int = 1 << 28, range_bytes: int = RANGE) -> str:
+    """Store every text as an image; returns the folder of the manifest."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), text_of(text_col).cast("binary"))
-    return written(rows.mapInArrow(archive_writer(folder, max_archive_bytes), MANIFEST), "media-manifest")
+    manifest = scratch(docs.sparkSession, "media-manifest")
+    rows.mapInArrow(archive_writer(folder, max_archive_bytes, range_bytes), MANIFEST).write.parquet(manifest)
+    return manifest
 
 
-def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None, range_bytes: int = 16 << 20) -> DataFrame:
-    """(archive, offset, doc_id, media) of the members of a manifest's archives,
-    or of all in the folder."""
+def read_archives(spark: SparkSession, manifest: str) -> DataFrame:
+    """(archive, offset, doc_id, media) of the members of a manifest's archives."""
     spark.dataSource.register(MediaArchive)
-    reader = spark.read.format("media_archive").option("path", folder).option("range_bytes", str(range_bytes))
-    if manifest is not None:  # one row per archive, no more than listing the folder gives
-        names = [x.archive.rpartition("/")[2] for x in manifest.select("archive").collect()]
-        reader = reader.option("archives", ",".join(names) or "none")
-    return reader.load()
+    return spark.read.format("media_archive").option("manifest", manifest).load()
 
 
 def features(payload: bytes) -> str:
@@ -281,6 +302,4 @@ def measured(media: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, **options) -> DataFrame:
     """Write docs to archives in scratch, read them back and measure them."""
     spark = docs.sparkSession
-    folder = scratch(spark, "media")
-    manifest = write_archives(docs, folder, **options)
-    return measured(read_archives(spark, folder, manifest))
+    return measured(read_archives(spark, write_archives(docs, scratch(spark, "media"), **options)))
