@@ -33,7 +33,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+         ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(md5(text), 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
   FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -17,12 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name below spark.checkpoint.dir, which all executors see.
 
-    Only where that setting is absent (tests on one machine) a temporary
-    folder is made and set.
+    Where that setting is absent, a temporary folder is made and set if the session
+    has one machine only; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("graphmill.scratch", None)
     if not base:
-        base = spark.conf.get("graphmill.scratch", None) or tempfile.mkdtemp(prefix="graphmill-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+        base = tempfile.mkdtemp(prefix="graphmill-")
         spark.conf.set("graphmill.scratch", base)
     return f"{base.rstrip('/')}/graphmill-{label}-{uuid.uuid4().hex}"
 

@@ -10,9 +10,10 @@ joined back by broadcast where its row count is checked to be small, otherwise
 by a salted join, so that a source with a third of all rows is spread either way.
 
 Defined results: null text counts 0 words; a null source is a source of its
-own, ordered last; a source without words has target 0 and rate 0; rows that
-repeat a doc_id share one draw; an empty table gives an empty result. Only the
-named columns are read; all others pass through untouched.
+own, ordered last; a source without words has target 0 and rate 0; rows with equal
+doc_id and text share one draw, others, also those with null or repeated doc_ids,
+have their own; an empty table gives an empty result. Only the named columns are
+read; all others pass through untouched.
 """
 
 from __future__ import annotations
@@ -72,12 +73,12 @@ def plan_mix(
     size = n_words(text_col)
     per = written(source_targets(docs.select(F.col(source_col).alias("source"), size.alias("size")), weights, max_repeat), "mix")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    full = docs.select(row.alias("row"), F.col(source_col).alias("source"), size.alias("size"), unit_hash(seed, F.col(id_col)).alias("draw"))
+    full = docs.select(row.alias("row"), F.col(source_col).alias("source"), size.alias("size"), unit_hash(seed, F.col(id_col), F.md5(F.col(text_col).cast("binary"))).alias("draw"))
     if per.count() <= BROADCAST_ROWS:
         joined = full.alias("d").join(F.broadcast(per).alias("p"), F.expr("d.source <=> p.source"))
     else:
         salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        full = full.withColumn("salt", (F.col("draw") * SALTS).cast("int"))
+        full = full.withColumn("salt", F.pmod(F.xxhash64("draw", F.col("row")), F.lit(SALTS)).cast("int"))
         joined = full.alias("d").join(salted.alias("p"), F.expr("d.source <=> p.source AND d.salt = p.salt"))
     whole = F.floor("rate")
     copies = (whole + F.when(F.col("draw") < F.col("rate") - whole, 1).otherwise(0)).cast("long")
