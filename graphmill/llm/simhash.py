@@ -299,8 +299,11 @@ def bucketed(prints: DataFrame, distance: int) -> DataFrame:
     done, uses = [], [0]
     while True:
         cuts = [(used, mask) for used in uses for mask in cuts_of(used, distance)]
-        table = F.broadcast(spark.createDataFrame(cuts, "used long, mask long"))  # CUTS rows at most
-        dealt = open_.join(table, "used").select(F.xxhash64("bucket", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), F.col("used").bitwiseOR(F.col("mask")).alias("used"), "fp")
+        if done:
+            cut = open_.join(F.broadcast(spark.createDataFrame(cuts, "used long, mask long")), "used")  # CUTS rows at most
+        else:
+            cut = open_.withColumn("mask", F.explode(F.array(*[F.lit(mask) for _, mask in cuts])))
+        dealt = cut.select(F.xxhash64("bucket", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), F.col("used").bitwiseOR(F.col("mask")).alias("used"), "fp")
         uses = sorted({used | mask for used, mask in cuts})
         if len(uses) * (distance + 1) > CUTS or BITS - max(map(int.bit_count, map(unsigned, uses))) < 2 * (distance + 1):
             done.append(dealt)
