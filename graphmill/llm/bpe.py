@@ -50,8 +50,8 @@ NODE = (1 << SHIFT) - 1
 #: Stands for the last token where a piece begins.
 START = NODE
 NEVER = 1 << 62
-#: Bounds of what one task remembers: determinised sets, pairs, pieces.
-STATES, PAIRS, PIECES = 80_000, 250_000, 200_000
+#: Bounds of what one task remembers: determinised sets, pairs, pieces, tokens' parts.
+STATES, PAIRS, PIECES, PARTS = 80_000, 250_000, 100_000, 20_000
 BLOCK = 1 << 12
 
 
@@ -89,15 +89,13 @@ class Transducer:
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.token: list[int] = [NONE]
         self.inner: list[bool] = [False]  # whether longer tokens go on from here
-        #: Of each token: its first and last parts while it is merged, and until which rank.
-        self.heads: dict[int, list[tuple[bytes, int]]] = {}
-        self.tails: dict[int, list[tuple[bytes, int]]] = {}
+        #: Of each token, as asked for: its first and last parts while it is merged, and until which rank.
+        self.parts: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]] = {}
         self.ordered = True  # whether every merge on the way to a token ranks below it
         for token, i in ranks.items():
             heads, tails = [], []
             if len(token) == 1 or merged(token, ranks, heads, tails) == [i]:
                 self.ordered &= heads == sorted(heads, key=lambda x: x[1]) and tails == sorted(tails, key=lambda x: x[1])
-                self.heads[i], self.tails[i] = [*heads, (token, NEVER)], [*tails, (token, NEVER)]
                 node = ROOT
                 for b in token:
                     self.inner[node] = True
@@ -113,7 +111,17 @@ class Transducer:
         start = (START << SHIFT,)
         self.number = {start: 0}
         self.paths = [start]
-        self.next: list[dict[int, tuple[int, int]]] = [{}]
+        self.next: dict[int, int] = {}  # state << 8 | byte -> next state << SHIFT | token + 1
+
+    def parts_of(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
+        found = self.parts.get(token)
+        if found is None:
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            data, heads, tails = self.bytes_of[token], [], []
+            merged(data, self.ranks, heads, tails)
+            found = self.parts[token] = [*heads, (data, NEVER)], [*tails, (data, NEVER)]
+        return found
 
     def fits(self, left: int, right: int) -> bool:
         if left == START:
@@ -131,16 +139,16 @@ class Transducer:
         last part of the left and a first part of the right one whose own
         merges come later (at equal ranks the one further left comes first)."""
         ranks = self.ranks
-        for head, swallowed in self.heads[right]:
-            for tail, gone in self.tails[left]:
+        for head, swallowed in self.parts_of(right)[0]:
+            for tail, gone in self.parts_of(left)[1]:
                 rank = ranks.get(tail + head)
                 if rank is not None and rank < gone and rank <= swallowed:
                     return False
         return True
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
+    def step(self, state: int, byte: int) -> int:
         """The transition of a set of paths on a byte: the next set, and the
-        token that ends here if the piece does. Paths stand with the longest
+        token (plus 1) that ends here if the piece does. Paths stand with the longest
         open token first; exactly one of them can end a token here."""
         paths, ended = [], NONE
         for path in self.paths[state]:
@@ -157,9 +165,8 @@ class Transducer:
         if to is None:
             to = self.number[key] = len(self.paths)
             self.paths.append(key)
-            self.next.append({})
-        self.next[state][byte] = to, ended
-        return to, ended
+        found = self.next[state << 8 | byte] = to << SHIFT | ended + 1
+        return found
 
     def settled(self, ends: list[int]) -> list[int]:
         """The tokens of a stretch, from the token that ends at each byte."""
@@ -174,9 +181,11 @@ class Transducer:
             self.forget()
         state, ends, ids = 0, [], []
         for byte in piece:
-            found = self.next[state].get(byte)
-            state, ended = found if found is not None else self.step(state, byte)
-            ends.append(ended)
+            found = self.next.get(state << 8 | byte)
+            if found is None:
+                found = self.step(state, byte)
+            state = found >> SHIFT
+            ends.append((found & NODE) - 1)
             if len(ends) >= BLOCK and len(self.paths[state]) == 1:  # no open token reaches past here
                 ids += self.settled(ends)
                 ends = []
@@ -281,6 +290,7 @@ def splitter(pattern: str):
     return by_width
 
 
+@cache
 def parsed_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
