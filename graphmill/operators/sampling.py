@@ -15,8 +15,9 @@ from graphmill.functions.hashing import draw
 from graphmill.operators.edges import EDGE, bin_of, dense_position
 
 
-def attempts(rows: DataFrame, n: Column, tries: int, seed: int, keys: list[str]) -> DataFrame:
-    out = rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+def attempts(rows: DataFrame, n: Column, tries: int, seed: int, keys: list[str], first: int = 0) -> DataFrame:
+    """Attempts first up to tries of every row."""
+    out = rows.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(tries - 1))))
     return out.withColumn("pos", draw(seed, *[F.col(k) for k in keys], F.col("attempt")) % n)
 
 
@@ -32,14 +33,17 @@ def typed_negatives(positives: DataFrame, pool: DataFrame, banned: DataFrame, *,
     """(relation, x_index, y_index, label 0): tails from the relation's own pool.
 
     positives: relation, src, dst. Equal positives get one row each by a
-    number of their own.
+    number of their own. Only rows whose first attempt failed make the others.
     """
     rows = positives.where("relation IS NOT NULL").groupBy(*EDGE).count()
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
     rows = rows.withColumn("row_id", F.concat_ws("|", "src", "dst", "copy")).join(pool.groupBy("relation").agg(F.count("*").alias("n")), "relation")
-    tried = attempts(rows.select("row_id", "relation", F.col("src").alias("head"), "n"), F.col("n"), tries, seed, ["relation", "row_id"])
-    tried = tried.join(pool, ["relation", "pos"])
-    found = first_allowed(tried, banned, ["relation", "head"])
+    rows = rows.select("row_id", "relation", F.col("src").alias("head"), "n")
+    keys, carry = ["relation", "row_id"], ["relation", "head"]
+    found = first_allowed(attempts(rows, F.col("n"), 1, seed, keys).join(pool, ["relation", "pos"]), banned, carry)
+    if tries > 1:
+        left = rows.join(found.select(*keys), keys, "left_anti")
+        found = found.unionByName(first_allowed(attempts(left, F.col("n"), tries, seed, keys, 1).join(pool, ["relation", "pos"]), banned, carry))
     return found.select("relation", F.col("head").alias("x_index"), F.col("node").alias("y_index"), F.lit(0).alias("label"))
 
 

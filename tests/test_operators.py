@@ -143,6 +143,15 @@ def test_enrich(spark):
     assert R.null_counts(found, ["y_name", "y_type"]).first() == (1, 2)
 
 
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_jaccard_of_hubs(spark, block):
+    adj = [(i, 100) for i in range(9)] + [(i, 101 + i % 2) for i in range(9)]
+    near = {i: {n for k, n in adj if k == i} for i in range(9)}
+    want = [(i, j, len(near[i] & near[j]) / len(near[i] | near[j])) for i in range(9) for j in range(i + 1, 9)]
+    found = J.jaccard(spark.createDataFrame(adj, "node long, nbr long"), spark.range(9).toDF("node"), block=block)
+    assert rows(found) == sorted(want, key=repr)
+
+
 def test_jaccard(spark):
     edges = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 11), (2, 10), (3, 11), (4, 4)], "x_index long, y_index long")
     members = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "node long")
