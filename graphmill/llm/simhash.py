@@ -436,19 +436,20 @@ def keep_first(
     (null last, then by a hash of the text); of repeated rows, one."""
     small_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    key = F.xxhash64(text_of(text_col))
-    work = docs.select(row.alias("row"), text_of(text_col).alias("text"), key.alias("key"), F.col(id_col).alias("id"))
-    prints = work.select("id", "key", F.arrow_udf(word_prints, PRINTS)(F.col("text").cast("binary")).alias("p")).select("id", "key", "p.*")
-    order = F.struct(F.col("id").isNull().alias("nil"), F.col("id").alias("id"), F.col("key").alias("key"))
+    work = docs.select(row.alias("row"), text_of(text_col).alias("text"), F.col(id_col).alias("id"))
+    # What a row is found by again: hashes of its text and of its id.
+    work = work.select("row", "text", "id", F.xxhash64("text").alias("key"), F.xxhash64(F.col("id").isNull(), "id").alias("id_key"))
+    prints = work.select("id", "key", "id_key", F.arrow_udf(word_prints, PRINTS)(F.col("text").cast("binary")).alias("p")).select("id", "key", "id_key", "p.*")
+    order = F.struct(F.col("id").isNull().alias("nil"), "id", "key", "id_key")
     texts = written(prints.groupBy("same").agg(F.min(order).alias("first"), F.min("fp").alias("fp")), "near-texts")
     roots = written(linked(texts.select("fp").distinct(), distance), "near-roots")
     grouped = texts.join(roots, "fp", "left").withColumn("group", F.coalesce("root", "fp")).drop("root")
     several = grouped.groupBy("group").count().where("count > 1").select("group", F.lit(True).alias("several"))
-    grouped = grouped.join(several, "group", "left").select("same", "first", "group", F.coalesce("several", F.lit(False)).alias("several"))
-    # The first row of every distinct text moves once, with its text.
-    rows = work.alias("w").join(grouped.alias("g"), F.expr("w.key = g.first.key AND w.id <=> g.first.id"))
-    rows = written(rows.select("row", "text", "same", "group", "several", "first").dropDuplicates(["same"]), "near-rows")
-    grams = F.arrow_udf(shingle_sets(shingle), "array<long>")(F.col("text").cast("binary"))
+    grouped = grouped.join(several, "group", "left").select("same", "first", "group", F.coalesce("several", F.lit(False)).alias("several"), "first.key", "first.id_key")
+    # The first row of every distinct text moves once; rows equal in both keys meet in one place.
+    rows = work.select("row", "key", "id_key").join(grouped, ["key", "id_key"]).dropDuplicates(["key", "id_key"])
+    rows = written(rows.select("row", "same", "group", "several", "first"), "near-rows")
+    grams = F.arrow_udf(shingle_sets(shingle), "array<long>")(text_of(F.col(f"row.`{text_col}`")).cast("binary"))
     labels = confirmed(rows.where("several").select("group", F.col("same").alias("member"), grams.alias("grams")), similarity)
     firsts = rows.where("several").select(F.col("same").alias("member"), "first").join(labels, "member")
     lowest = firsts.groupBy("label").agg(F.min_by("member", "first").alias("same"))
