@@ -12,7 +12,7 @@ labelled rows that the language models have not seen turns them into a score.
 Class counts come from bounded samples of labelled rows, chosen by hash: at most
 max_rows rows of each class for the counts, and as many for the curve; all their
 n-grams count. The shared continuation counts come from all documents and grow
-with them: one scan counts words (each task sends a word once per batch), the
+with them: one scan counts words (a task sends a word once per HELD words), the
 n-grams of the distinct words are counted by Spark, and only the counts that the
 class models' own n-grams fall back on, as many as these at most, leave for the
 driver. The finished model, which is broadcast, holds 12 bytes for each n-gram
@@ -50,8 +50,8 @@ WINDOW = 5
 DISCOUNT = 0.75
 START, END = "^", "$"
 ASCII_WORDS, LETTERS = re.compile(r"[a-z]+"), regex.compile(r"\p{L}+")
-#: Words whose ratio a task remembers at once.
-REMEMBERED = 150_000
+#: Words whose ratio a task remembers at once, and words a task counts before it sends them on.
+REMEMBERED, HELD = 100_000, 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -124,17 +124,25 @@ COUNTED = "word string, ordinary long, toxic long"
 
 
 def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: (toxic, text) -> the words of each batch and how often rows of
-    each class have them (rows without a class count as neither)."""
-    for batch in batches:
-        counts = Counter(), Counter(), set()
-        for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[2 if c is None else c].update(words_of(text))
+    """For mapInArrow: (toxic, text) -> words and how often rows of each class have
+    them (rows without a class count as neither), before more than HELD are held."""
+    counts = Counter(), Counter(), set()
+
+    def flushed() -> Iterator[pa.RecordBatch]:
         words = list(counts[2].union(counts[0], counts[1]))
         for at in range(0, len(words), 1 << 16):
             part = words[at : at + (1 << 16)]
             both = [pa.array([counts[c][w] for w in part], pa.int64()) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *both], ["word", "ordinary", "toxic"])
+        for c in counts:
+            c.clear()
+
+    for batch in batches:
+        for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts[2 if c is None else c].update(words_of(text))
+            if sum(map(len, counts)) > HELD:
+                yield from flushed()
+    yield from flushed()
 
 
 def word_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -148,23 +156,29 @@ def padded() -> Column:
     return F.concat(F.lit(START), "word", F.lit(END))
 
 
-def class_counts(words: DataFrame) -> DataFrame:
-    """(gram, ordinary, toxic) of all n-grams of the labelled rows' words."""
+def grams_in(words: DataFrame) -> DataFrame:
+    """words with gram: one row for each character of each word and what stands before it."""
     ends = F.sequence(F.lit(2), F.char_length(padded()))
     gram = F.transform(ends, lambda e: F.substring(padded(), F.greatest(e - (ORDER - 1), F.lit(1)), F.least(e, F.lit(ORDER))))
-    grams = words.where("ordinary + toxic > 0").select(F.explode(gram).alias("gram"), "ordinary", "toxic")
+    return words.withColumn("gram", F.explode(gram))
+
+
+def class_counts(words: DataFrame) -> DataFrame:
+    """(gram, ordinary, toxic) of all n-grams of the labelled rows' words."""
+    grams = grams_in(words.where("ordinary + toxic > 0"))
     return grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def continuations(words: DataFrame, needed: DataFrame) -> DataFrame:
     """(gram, kinds) over all words: of the n-grams whose context is in needed
     (context), how many different characters stand before them."""
-    ends = F.sequence(F.lit(2), F.char_length(padded()))
-    runs = F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(2), F.least(e, F.lit(ORDER))), lambda n: F.substring(padded(), e - n + 1, n))))
-    longer = words.select(F.explode(runs).alias("run")).withColumn("gram", F.substring("run", 2, ORDER))
-    longer = longer.withColumn("context", F.expr("left(gram, char_length(gram) - 1)"))
-    longer = longer.join(F.broadcast(needed), "context", "left_semi")  # contexts of the samples' n-grams
-    return longer.select("run", "gram").distinct().groupBy("gram").agg(F.count("*").alias("kinds"))
+    longest = grams_in(words).select("gram").distinct()
+    lengths = F.sequence(F.lit(2), F.char_length("gram"))
+    runs = longest.select(F.explode(F.transform(lengths, lambda n: F.substring("gram", -n, n))).alias("run"))
+    runs = runs.withColumn("gram", F.substring("run", 2, ORDER))
+    runs = runs.withColumn("context", F.expr("left(gram, char_length(gram) - 1)"))
+    runs = runs.join(F.broadcast(needed), "context", "left_semi")  # contexts of the samples' n-grams
+    return runs.select("run", "gram").distinct().groupBy("gram").agg(F.count("*").alias("kinds"))
 
 
 class Shared:
