@@ -47,7 +47,7 @@ def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.LocalFileSystem(), path
 
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Keep the Arrow batches that go to Python workers under size bytes, so
     that a worker's memory doesn't follow the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
