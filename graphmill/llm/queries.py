@@ -45,10 +45,20 @@ levels AS (
       / (sum(weight) OVER (ORDER BY ceiling::DOUBLE / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM weighed),
 targets AS (
   SELECT source, source_size, least(ceiling::DOUBLE, weight * max(level) OVER ()) AS target FROM levels),
-rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets)
-SELECT s.doc_id, s.size::BIGINT AS size, r.source_size, r.target,
-       (floor(r.rate)::BIGINT + CASE WHEN s.draw < r.rate - floor(r.rate) THEN 1 ELSE 0 END) * s.size AS taken
-FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
+tried AS (
+  SELECT s.source, k, s.size, s.draw + k / 16.0::DOUBLE AS spot, r.rate, r.source_size, r.target
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(16)) AS k)),
+offs AS (
+  SELECT source, k, abs(floor(any_value(rate))::BIGINT * any_value(source_size) + sum(CASE WHEN spot - floor(spot) < rate - floor(rate) THEN size ELSE 0 END)::BIGINT - any_value(target)) AS gap
+  FROM tried GROUP BY source, k),
+turns AS (SELECT source, arg_min(k, {'gap': gap, 'k': k}) AS turn FROM offs GROUP BY source),
+drawn AS (
+  SELECT s.doc_id, s.size, s.draw + t.turn / 16.0::DOUBLE AS spot, r.source_size, r.target, r.rate
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source JOIN turns t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (floor(rate)::BIGINT + CASE WHEN spot - floor(spot) < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken
+FROM drawn
 """
 
 
