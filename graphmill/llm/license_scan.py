@@ -7,6 +7,10 @@ normalised: lower case, everything but letters and digits a single space. Its se
 A of word bigrams is compared to a template's set B where sizes allow it:
 2|A∩B| / (|A|+|B|) >= t needs |A| between |B| t / (2-t) and |B| (2-t) / t. Sizes
 thus rule out most templates, and most units altogether, before any intersection.
+A coefficient of t also needs |A∩B| >= |B| t / (2-t): words that are in so many of
+B's bigrams that the others are fewer than that are B's anchors, one of which every
+matching unit must hold. Texts and units without an anchor of any template are passed
+over before bigrams are made.
 
 Everything is a projection of each row by built-in functions: no shuffle, no
 Python. A text is normalised once, and bigrams are 64-bit hashes. The templates, a
@@ -139,6 +143,29 @@ def template_rows(dice: float) -> list[dict]:
     return rows
 
 
+#: Words that are anchors only where no others are left.
+COMMON = {"at", "by", "for", "in", "is", "of", "the", "this", "to", "under", "work"}
+
+
+def anchors(dice: float) -> list[str]:
+    """Words of which every unit that reaches the coefficient with a template holds one:
+    of each template its longest words, until too few bigrams are left without them."""
+    found: set[str] = set()
+    for _, text in TEMPLATES:
+        words = template_words(text)
+        left = set(zip(words, words[1:], strict=False))
+        least = math.ceil(len(left) * dice / (2 - dice) - 1e-9)
+        chosen = {w for w in found if any(w in pair for pair in left)}
+        left = {pair for pair in left if not chosen & set(pair)}
+        for word in sorted(set(words), key=lambda w: (w in COMMON, -len(w), w)):
+            if len(left) < least:
+                break
+            if any(word in pair for pair in left):
+                found.add(word)
+                left = {pair for pair in left if word not in pair}
+    return sorted(found)
+
+
 # Marks of a normalised text, where a paragraph, a line or a sentence ends.
 PARAGRAPH, LINE, SENTENCE = "\x01", "\x02", "\x03"
 
@@ -185,9 +212,12 @@ def with_license(docs: DataFrame, *, text_col: str = "text", dice: float = DICE)
     kind = "array<struct<name:string,grams:array<bigint>,lo:int,hi:int,several:boolean>>"
     templates = F.from_json(F.lit(json.dumps(rows)), kind)
     every = F.from_json(F.lit(json.dumps(sorted({g for r in rows if r["several"] for g in r["grams"]}))), "array<bigint>")
-    out = packed(docs, text_col).withColumn("_norm", normalised(text_of("text")))
+    one_of = "|".join(anchors(dice))
+    wanted = F.lower(text_of("text")).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{one_of})(?![\p{{L}}\p{{N}}])")
+    out = packed(docs, text_col).withColumn("_norm", normalised(F.when(wanted, text_of("text")).otherwise("")))
     out = out.withColumn("_paragraphs", F.transform(cut("_norm", PARAGRAPH), grams_of))
     units = F.array_distinct(F.concat(cut("_norm", ""), cut("_norm", PARAGRAPH + LINE), cut("_norm", PARAGRAPH + LINE + SENTENCE)))
+    units = F.filter(units, lambda u: u.rlike(rf"(?:^| )(?:{one_of})(?: |$)"))
     out = out.withColumn("_sets", F.concat("_paragraphs", F.transform(units, grams_of)))
     # Runs are looked for only where two paragraphs or more are half made of licences' bigrams.
     several = F.size(F.filter("_paragraphs", lambda s: (F.size(s) > 0) & (2 * F.size(F.array_intersect(s, every)) >= F.size(s)))) > 1
