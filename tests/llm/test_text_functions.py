@@ -361,6 +361,15 @@ def test_size_bounds_lose_nothing():
                 assert row["lo"] <= a <= row["hi"]
 
 
+def test_anchors_miss_no_match():
+    words = set(license_scan.anchors(0.8))
+    for row, (_, text) in zip(license_scan.template_rows(0.8), license_scan.TEMPLATES):
+        own = license_scan.template_words(text)
+        without = {p for p in zip(own, own[1:]) if not words & set(p)}
+        assert 2 * len(without) / (len(without) + len(row["grams"])) < 0.8
+    assert len(words) < 80 and not words & {"the", "of", "and", "to", "in", "is"}
+
+
 # 10
 
 
