@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, html_extract, license_scan, media, quality, secret_scan, simhash, source_mix, toxicity, warc
+from graphmill.llm import bpe, filter_audit, html_extract, license_scan, media, quality, secret_scan, simhash, source_mix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,5 +119,38 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_html_text": op5_html_text, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_license_scan": op9_license_scan, "op10_warc": op10_warc}
-ORACLES = {"op2_source_mix": OP2_SQL, "op9_license_scan": license_scan.oracle("documents"), "op10_warc": OP10_SQL}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+failing AS (
+  SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+      + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask FROM d),
+said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+classes AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM failing LEFT JOIN said USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT [a, b, c, d, e] AS path FROM f a CROSS JOIN f b CROSS JOIN f c CROSS JOIN f d CROSS JOIN f e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps AS (
+  SELECT list_aggregate(list_transform(path, lambda p: p.name), 'string_agg', '') AS filter_order, step, path[step].bit AS bit,
+         coalesce(list_sum(list_transform(path[1:step - 1], lambda p: p.bit)), 0)::INT AS prefix
+  FROM orders CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+counts AS (
+  SELECT part, bit, prefix, sum(CASE WHEN mask & (prefix | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & bit > 0 AND mask & prefix = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & bit > 0 AND mask & prefix > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & bit > 0 AND mask & prefix = 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN mask & bit > 0 AND mask & prefix = 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost
+  FROM classes CROSS JOIN (SELECT DISTINCT bit, prefix FROM steps) GROUP BY part, bit, prefix),
+every AS (SELECT * FROM steps JOIN counts USING (bit, prefix))
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM every
+"""
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_html_text": op5_html_text, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_license_scan": op9_license_scan, "op10_warc": op10_warc, "op13_filter_audit": op13_filter_audit}
+ORACLES = {"op2_source_mix": OP2_SQL, "op9_license_scan": license_scan.oracle("documents"), "op10_warc": OP10_SQL, "op13_filter_audit": OP13_SQL}

@@ -29,12 +29,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/graphmill-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *folders: str) -> DataFrame:
     """df as a Parquet table in the shared scratch folder, read back: cuts the
-    lineage and survives the loss of any executor."""
+    lineage and survives the loss of any executor. folders: columns by whose values
+    the table is cut into folders."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(folders) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
