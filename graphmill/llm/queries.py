@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, filter_audit, html_extract, license_scan, media, quality, secret_scan, simhash, source_mix, toxicity, warc
+from graphmill.llm import bpe, filter_audit, html_extract, lexical, license_scan, media, quality, secret_scan, simhash, source_mix, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +119,45 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP11_SQL = """
+WITH told AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM told q JOIN told c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+lengths AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+norms AS (SELECT doc_id, 100 - 75 + ((75 * n * docs) // terms) AS m FROM lengths CROSS JOIN total),
+held AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held CROSS JOIN total GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN norms USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -152,5 +191,5 @@ every AS (SELECT * FROM steps JOIN counts USING (bit, prefix))
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM every
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_html_text": op5_html_text, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_license_scan": op9_license_scan, "op10_warc": op10_warc, "op13_filter_audit": op13_filter_audit}
-ORACLES = {"op2_source_mix": OP2_SQL, "op9_license_scan": license_scan.oracle("documents"), "op10_warc": OP10_SQL, "op13_filter_audit": OP13_SQL}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_source_mix": op2_source_mix, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_html_text": op5_html_text, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_license_scan": op9_license_scan, "op10_warc": op10_warc, "op11_topk_search": op11_topk_search, "op12_lexical_search": op12_lexical_search, "op13_filter_audit": op13_filter_audit}
+ORACLES = {"op2_source_mix": OP2_SQL, "op9_license_scan": license_scan.oracle("documents"), "op10_warc": OP10_SQL, "op11_topk_search": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_filter_audit": OP13_SQL}
