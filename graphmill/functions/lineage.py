@@ -2,8 +2,19 @@
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name that all executors see, in spark.checkpoint.dir or where
+    settled() puts its checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        settled(spark.range(0))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -643,73 +643,6 @@ def diagonal(x):
     return [[x if i == j else 0.0 for j in range(T.PLACES)] for i in range(T.PLACES)]
 
 
-def mixing(a, rows=range(1, T.PLACES + 1)):
-    """A full matrix by rule: ((a i + 3 j) mod 11 - 5) / 50 in row i, column j, from 1."""
-    return [[((a * i + 3 * j) % 11 - 5) / 50.0 for j in range(1, T.PLACES + 1)] for i in rows]
-
-
-def mixed_sql(a, i, j):
-    return f"((({a}) * {i} + 3 * {j}) % 11 - 5) / 50.0::DOUBLE"
-
-
-def relational_sql(source, out):
-    return f"""{out}_means AS (SELECT dst, rel_id, pos, avg(v) AS m FROM msg JOIN {source} ON node = src GROUP BY ALL),
-{out}_turned AS (SELECT dst AS node, i AS pos, sum(CASE rel_id WHEN ascii('A') THEN {mixed_sql(7, "i", "pos")} WHEN ascii('N') THEN {mixed_sql(5, "i", "pos")} ELSE (i = pos)::INT * -1.0 END * m) AS m
-  FROM {out}_means CROSS JOIN place GROUP BY ALL),
-{out}_raw AS (SELECT node, s.pos, 0.5 * s.v + 0.1 + coalesce(m, 0) AS x FROM {source} s LEFT JOIN {out}_turned USING (node, pos)),
-{out} AS (SELECT node, pos, greatest((x - 0.1) / sqrt(1.5 + pos / 64.0::DOUBLE + 0.00001) * 1.2 + 0.05, 0.0) AS v FROM {out}_raw)"""
-
-
-@query(f"""WITH {VECTORS}, {relational_sql("vec", "one")}, {relational_sql("one", "two")}
-SELECT node, (pos - 1)::INTEGER AS pos, round(v, 6) + 0.0 AS value FROM two""")
-def relational_encoder(spark, d):
-    weights = {ord("A"): mixing(7), ord("N"): mixing(5), ord("R"): diagonal(-1.0)}
-    norm = {"mean": [0.1] * T.PLACES, "var": [1.5 + i / 64 for i in range(1, T.PLACES + 1)], "gamma": [1.2] * T.PLACES, "beta": [0.05] * T.PLACES}
-    layer = {"root": diagonal(0.5), "weights": weights, "bias": [0.1] * T.PLACES, "norm": norm}
-    return cells_of(G.relational_encoder(messages(spark, d), node_vectors(spark, d), [layer, layer]))
-
-
-def typed_sql(source, out):
-    rel = "CASE rel_id WHEN ascii('A') THEN 2 WHEN ascii('N') THEN 4 ELSE 6 END"
-    return f"""{out}_rels AS (SELECT DISTINCT rel_id FROM msg),
-{out}_q AS (SELECT node, (i - 1) // 32 AS head, i, sum({mixed_sql(1, "i", "pos")} * v) AS q FROM {source} CROSS JOIN place GROUP BY ALL),
-{out}_kv AS (SELECT node, rel_id, (i - 1) // 32 AS head, i, sum({mixed_sql(f"{rel}", "i", "pos")} * v) AS k, sum({mixed_sql(f"{rel} + 1", "i", "pos")} * v) AS w FROM {source} CROSS JOIN place CROSS JOIN {out}_rels GROUP BY ALL),
-{out}_scored AS (SELECT src, dst, msg.rel_id, a.head, sum(q * k * (1 + a.head * 0.5::DOUBLE)) / sqrt(32.0::DOUBLE) AS score
-  FROM msg JOIN {out}_kv a ON a.node = src AND a.rel_id = msg.rel_id JOIN {out}_q b ON b.node = dst AND b.i = a.i GROUP BY ALL),
-{out}_weighed AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY dst, head) AS w FROM {out}_scored),
-{out}_added AS (SELECT dst AS node, i AS pos, sum(x.w * a.w) AS a FROM {out}_weighed x JOIN {out}_kv a ON a.node = src AND a.rel_id = x.rel_id AND a.head = x.head GROUP BY ALL),
-{out} AS (SELECT node, pos, v + greatest(coalesce(a, 0), 0.0) AS v FROM {source} LEFT JOIN {out}_added USING (node, pos))"""
-
-
-@query(f"""WITH {VECTORS}, {typed_sql("vec", "one")}, {typed_sql("one", "two")}
-SELECT node, (pos - 1)::INTEGER AS pos, round(v, 6) + 0.0 AS value FROM two""")
-def typed_attention_encoder(spark, d):
-    kinds = {ord("A"): 2, ord("N"): 4, ord("R"): 6}
-    heads = []
-    for h in (0, 1):
-        own = range(32 * h + 1, 32 * h + 33)
-        heads.append({"query": mixing(1, own), "keys": {r: mixing(a, own) for r, a in kinds.items()}, "values": {r: mixing(a + 1, own) for r, a in kinds.items()}, "prior": dict.fromkeys(kinds, 1 + h * 0.5)})
-    return cells_of(G.typed_encoder(messages(spark, d), node_vectors(spark, d), [heads, heads]))
-
-
-@query(f"""WITH {VECTORS}, heads AS (SELECT unnest(range(1, 5)) AS head),
-seen AS (SELECT node, head, i AS pos, sum({mixed_sql("head + 1", "i", "pos")} * v) AS v FROM vec CROSS JOIN place CROSS JOIN heads GROUP BY ALL),
-ends AS (SELECT node, head, sum(v) AS a, sum(v * -0.5 * head) AS b FROM seen GROUP BY ALL),
-raw AS (SELECT src, dst, rel_id, x.head, x.a + y.b AS s FROM msg JOIN ends x ON x.node = src JOIN ends y ON y.node = dst AND y.head = x.head),
-leaky AS (SELECT src, dst, rel_id, head, CASE WHEN s > 0 THEN s ELSE 0.2 * s END AS s FROM raw),
-weighed AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS w FROM leaky WINDOW w AS (PARTITION BY dst, rel_id, head)),
-by_head AS (SELECT dst, rel_id, x.head, pos, sum(w * v) AS z FROM weighed x JOIN seen y ON y.node = src AND y.head = x.head GROUP BY ALL),
-by_rel AS (SELECT dst, rel_id, pos, avg(z) AS z FROM by_head GROUP BY ALL),
-turned AS (SELECT dst, rel_id, i, tanh(sum({mixed_sql(9, "i", "pos")} * z) + 0.01) AS t FROM by_rel CROSS JOIN place GROUP BY ALL),
-sem AS (SELECT rel_id, avg(t) AS s FROM (SELECT dst, rel_id, sum(t) / 8 AS t FROM turned GROUP BY ALL) GROUP BY rel_id),
-beta AS (SELECT rel_id, exp(s) / sum(exp(s)) OVER () AS beta FROM sem),
-mixed AS (SELECT dst AS node, pos, sum(beta * z) AS m FROM by_rel JOIN beta USING (rel_id) GROUP BY ALL)
-SELECT node, (pos - 1)::INTEGER AS pos, round(CASE WHEN m IS NULL THEN v ELSE greatest(m, 0.0) END, 6) + 0.0 AS value FROM vec LEFT JOIN mixed USING (node, pos)""")
-def heterogeneous_encoder(spark, d):
-    heads = [{"project": mixing(h + 1), "to": [1.0] * T.PLACES, "own": [-0.5 * h] * T.PLACES} for h in range(1, 5)]
-    return cells_of(G.heterogeneous_attention(messages(spark, d), node_vectors(spark, d), heads, [1 / 8] * T.PLACES, mixing(9), [0.01] * T.PLACES))
-
-
 # Ontology
 
 
