@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions.hashing import draw
+from graphmill.functions.lineage import settled
 from graphmill.operators.edges import EDGE, bin_of, dense_position
 
 
@@ -34,14 +35,16 @@ def typed_negatives(positives: DataFrame, pool: DataFrame, banned: DataFrame, *,
 
     positives: relation, src, dst. Equal positives get one row each by a
     number of their own. Only rows whose first attempt failed make the others.
+    Rows and what the first attempts found are checkpoints, as both are read twice.
     """
     rows = positives.where("relation IS NOT NULL").groupBy(*EDGE).count()
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
     rows = rows.withColumn("row_id", F.concat_ws("|", "src", "dst", "copy")).join(pool.groupBy("relation").agg(F.count("*").alias("n")), "relation")
-    rows = rows.select("row_id", "relation", F.col("src").alias("head"), "n")
+    rows = settled(rows.select("row_id", "relation", F.col("src").alias("head"), "n"))
     keys, carry = ["relation", "row_id"], ["relation", "head"]
     found = first_allowed(attempts(rows, F.col("n"), 1, seed, keys).join(pool, ["relation", "pos"]), banned, carry)
     if tries > 1:
+        found = settled(found)
         left = rows.join(found.select(*keys), keys, "left_anti")
         found = found.unionByName(first_allowed(attempts(left, F.col("n"), tries, seed, keys, 1).join(pool, ["relation", "pos"]), banned, carry))
     return found.select("relation", F.col("head").alias("x_index"), F.col("node").alias("y_index"), F.lit(0).alias("label"))
@@ -63,12 +66,19 @@ def hard_negatives(positives: DataFrame, degrees: DataFrame, bins: DataFrame, *,
     pool = dense_position(binned, ["bin"], "node").select("bin", "pos", F.col("node").alias("candidate"))
     sizes = pool.groupBy("bin").agg(F.count("*").alias("n"))
     rows = positives.join(binned, positives.dst == binned.node).join(F.broadcast(sizes), "bin")
-    rows = rows.select(F.concat_ws("|", *EDGE).alias("row_id"), "relation", "src", "dst", "bin", "n")
-    tried = attempts(rows, F.col("n"), tries, seed, ["row_id"]).join(pool, ["bin", "pos"]).where("candidate <> dst")
-    if banned is not None:
-        ban = banned.select("relation", F.col("src"), F.col("dst").alias("candidate"))
-        tried = tried.join(ban, ["relation", "src", "candidate"], "left_anti")
-    best = tried.groupBy("row_id", "relation", "src").agg(F.min_by("candidate", "attempt").alias("y_index"))
+    rows = settled(rows.select(F.concat_ws("|", *EDGE).alias("row_id"), "relation", "src", "dst", "bin", "n"))
+    keys = ["row_id", "relation", "src"]
+
+    def best_of(some: DataFrame, upto: int, first: int = 0) -> DataFrame:
+        tried = attempts(some, F.col("n"), upto, seed, ["row_id"], first).join(pool, ["bin", "pos"]).where("candidate <> dst")
+        if banned is not None:
+            ban = banned.select("relation", F.col("src"), F.col("dst").alias("candidate"))
+            tried = tried.join(ban, ["relation", "src", "candidate"], "left_anti")
+        return tried.groupBy(*keys).agg(F.min_by("candidate", "attempt").alias("y_index"))
+
+    best = settled(best_of(rows, 1))
+    if tries > 1:
+        best = best.unionByName(best_of(rows.join(best.select("row_id"), "row_id", "left_anti"), tries, 1))
     return best.select("relation", F.col("src").alias("x_index"), "y_index", F.lit(0).alias("label"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.functions.hashing import draw
+from graphmill.functions.lineage import settled
 from graphmill.functions.vectors import aggregate_vectors, dot, sigmoid
 from graphmill.operators import edges as E
 from graphmill.operators import graph as G
@@ -142,29 +143,36 @@ def leak_count(spark, d):
     return candidates(spark, d).join(known, E.EDGE, "left").agg(F.count("*").alias("n_candidates"), F.count_if("known").alias("n_leaks"))
 
 
-def negatives_sql(positives: str, pool: str, tries: int) -> str:
+def materialised(sql: str) -> str:
+    """The same CTEs, each made once."""
+    return sql.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+def negatives_sql(positives: str, tries: int) -> str:
     return f"""
-numbered AS (SELECT *, src || '|' || dst || '|' || row_number() OVER (PARTITION BY relation, src, dst) AS row_id FROM {positives}),
-tried AS (
-  SELECT p.relation, p.row_id, p.src AS head, a.attempt, q.node
-  FROM numbered p JOIN sizes s USING (relation) CROSS JOIN (SELECT unnest(range({tries})) AS attempt) a
-  JOIN {pool} q ON q.relation = p.relation AND q.pos = {H.format("'42|' || p.relation || '|' || p.row_id || '|' || a.attempt")} % s.n),
-allowed AS (
-  SELECT * FROM tried t WHERE head <> node AND NOT EXISTS (
-    SELECT 1 FROM dedup b WHERE b.relation = t.relation AND b.src = least(t.head, t.node) AND b.dst = greatest(t.head, t.node)))
+numbered AS MATERIALIZED (SELECT *, src || '|' || dst || '|' || row_number() OVER (PARTITION BY relation, src, dst) AS row_id FROM {positives}),
+drawn AS MATERIALIZED (
+  SELECT p.relation, p.row_id, p.src AS head, a.attempt, {H.format("'42|' || p.relation || '|' || p.row_id || '|' || a.attempt")} % s.n AS pos
+  FROM numbered p JOIN sizes s USING (relation) CROSS JOIN (SELECT unnest(range({tries})) AS attempt) a),
+tried AS MATERIALIZED (SELECT relation, row_id, head, attempt, node, least(head, node) AS src, greatest(head, node) AS dst FROM drawn JOIN pool USING (relation, pos) WHERE head <> node),
+allowed AS (SELECT * FROM tried ANTI JOIN dedup USING (relation, src, dst))
 SELECT relation, any_value(head) AS x_index, min_by(node, attempt) AS y_index, 0 AS label FROM allowed GROUP BY relation, row_id"""
 
 
-@query(f"WITH {POOL}, {negatives_sql('train', 'pool', 5)}")
+def negatives(spark, d, positives):
+    """Typed negatives against the known edges, which are found once."""
+    known = settled(E.dedup(T.raw_edges(spark, d)))
+    return S.typed_negatives(positives(known), settled(E.pools(known)), known)
+
+
+@query(f"WITH {materialised(POOL)}, {negatives_sql('train', 5)}")
 def neg_typed_train(spark, d):
-    known = E.dedup(T.raw_edges(spark, d))
-    return S.typed_negatives(part(spark, d, "train"), E.pools(known), known)
+    return negatives(spark, d, lambda known: E.split(known).where(F.col("split") == "train").select(*E.EDGE))
 
 
-@query(f"WITH {POOL}, {EXTERNAL}, {negatives_sql('cand', 'pool', 5)}")
+@query(f"WITH {materialised(POOL)}, {EXTERNAL}, {negatives_sql('cand', 5)}")
 def neg_typed_test(spark, d):
-    known = E.dedup(T.raw_edges(spark, d))
-    return S.typed_negatives(candidates(spark, d), E.pools(known), known)
+    return negatives(spark, d, lambda known: candidates(spark, d))
 
 
 DEGREE = f"""{RAW}, degree AS (SELECT node, count(*) AS degree FROM (SELECT x_index AS node FROM raw UNION ALL SELECT y_index FROM raw) GROUP BY node)"""

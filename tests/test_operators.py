@@ -227,32 +227,6 @@ def vectors_of(spark, table):
     return spark.createDataFrame(list(table.items()), "node long, vector array<double>")
 
 
-def test_relational_layer(spark):
-    h = {1: [1.0, 2.0], 2: [3.0, -1.0], 3: [0.5, 0.5]}
-    messages = spark.createDataFrame([(1, 3, 0), (2, 3, 0), (1, 3, 1)], "src long, dst long, rel_id long")
-    root, w, bias = [[1, 0], [0, 1]], {0: [[2, 0], [0, 2]], 1: [[0, 1], [1, 0]]}, [0.1, -9.0]
-    found = dict(rows(G.relational_layer(messages, vectors_of(spark, h), root, w, bias)))
-    mean0 = (np.array(h[1]) + h[2]) / 2
-    assert np.allclose(found[3], np.maximum(np.array(h[3]) + 2 * mean0 + np.array([2.0, 1.0]) + bias, 0))
-    assert np.allclose(found[1], np.maximum(np.array(h[1]) + bias, 0))
-
-
-def test_attention_layers(spark):
-    h = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [1.0, 1.0]}
-    messages = spark.createDataFrame([(1, 3, 0), (2, 3, 0), (2, 1, 1)], "src long, dst long, rel_id long")
-    to, own = [1.0, -1.0], [0.5, 0.5]
-    by = {(r.dst, r.rel_id): r.vector for r in G.attention(messages, vectors_of(spark, h), to, own).collect()}
-    e = [1 + 1, 0.2 * (-1 + 1) if -1 + 1 <= 0 else 0]
-    w = np.exp(e) / np.exp(e).sum()
-    assert np.allclose(by[3, 0], w[0] * np.array(h[1]) + w[1] * np.array(h[2])) and np.allclose(by[1, 1], h[2])
-    unit = [[1.0, 0.0], [0.0, 1.0]]
-    out = dict(rows(G.heterogeneous_attention(messages, vectors_of(spark, h), [{"project": unit, "to": to, "own": own}], [1.0, 1.0], unit, [0.0, 0.0])))
-    assert out[2] == h[2]
-    head = {"query": unit, "keys": {0: unit, 1: unit}, "values": {0: unit, 1: unit}, "prior": {0: 1.0, 1: 1.0}}
-    typed = dict(rows(G.typed_attention(messages, vectors_of(spark, h), [head])))
-    assert typed[2] == h[2] and np.allclose(typed[1], np.array(h[1]) + h[2]) and np.allclose(typed[3], np.array(h[3]) + 0.5)
-
-
 def test_encode(spark):
     edges = spark.createDataFrame([("b", 1, 2, 1), ("a", 2, 3, 0)], T.LABELLED)
     out = G.encode(spark.createDataFrame([(5, "x", "t", "n")], T.NODES), train=edges, val=edges.limit(0), test_hard=None)
@@ -325,16 +299,3 @@ def test_batches(spark):
     for r in near:
         per[r.batch, r.hop, r.dst] = per.get((r.batch, r.hop, r.dst), 0) + 1
     assert per and all(n <= (3, 2)[hop] for (_, hop, _), n in per.items())
-
-
-def test_batch_norm_and_layers(spark):
-    h = {1: [1.0, 2.0], 2: [3.0, -1.0]}
-    messages = spark.createDataFrame([(1, 2, 0)], "src long, dst long, rel_id long")
-    norm = {"mean": [0.5, 0.0], "var": [4.0, 1.0], "gamma": [1.0, 2.0], "beta": [0.0, 0.25]}
-    layer = {"root": [[1, 0], [0, 1]], "weights": {0: [[0, 1], [1, 0]]}, "bias": [0.0, 0.5], "norm": norm}
-    want = {k: np.array(v) for k, v in h.items()}
-    for _ in range(2):
-        raw = {k: v + np.array([0, 0.5]) + (want[1][::-1] if k == 2 else 0) for k, v in want.items()}
-        want = {k: np.maximum((v - norm["mean"]) / np.sqrt(np.array(norm["var"]) + 1e-5) * norm["gamma"] + norm["beta"], 0) for k, v in raw.items()}
-    found = dict(rows(G.relational_encoder(messages, vectors_of(spark, h), [layer, layer])))
-    assert all(np.allclose(found[k], want[k]) for k in h)
