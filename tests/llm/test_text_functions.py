@@ -235,18 +235,20 @@ def test_malformed_pages_take_linear_time(part):
     assert time.perf_counter() - began < 5
 
 
-def test_boilerplate_of_a_host():
-    menu = [f"m{i}" for i in range(10)]
-    assert html_extract.boilerplate_of([menu, ["own", "words"]], [0, 1, 2]) == [html_extract.words_hash(menu)]
-    assert html_extract.boilerplate_of([menu, ["own", "words"]], [0]) == []
-    page = html_extract.blocks_of("<article><p>" + " ".join(menu) + "</p><p>text</p></article>")
-    assert html_extract.main_text(page, None, [html_extract.words_hash(menu)]) == "text"
+@pytest.mark.parametrize(("html", "want"), [
+    ('<article><p>Intro</p><section id="related-work"><p>Others have</p></section><div class="share-price">12 a share</div></article>', "Intro\nOthers have\n12 a share"),
+    ('<article><p>Intro</p><div class="related-posts"><p>More</p></div><div class="post share-buttons">Tweet</div></article>', "Intro"),
+    ("<article>" + "<div>" * 300 + "<p>Deep</p></article><div>Loose after</div>", "Deep"),
+])
+def test_names_and_depth_inside_articles(html, want):
+    assert html_extract.main_text(html_extract.blocks_of(html)) == want
 
 
 def test_undeclared_page_keeps_unique_runs():
     blocks = html_extract.blocks_of("<div>a b c d e f g h</div><p>own words</p>")
     assert html_extract.main_text(blocks) == "a b c d e f g h\nown words"
-    assert html_extract.main_text(blocks, [0]) == "own words"
+    words = [text.split(" ") for _, text in blocks]
+    assert html_extract.unique_text(words, [True, True], [0]) == "own words" and html_extract.unique_text(words, [True, False], None) == "a b c d e f g h"
     assert html_extract.main_text([]) == ""
 
 

@@ -264,11 +264,35 @@ def test_main_texts(spark, shard):
     found = sorted(((r.page_id, r.text) for r in html_extract.main_texts(pages, shard=shard).collect()), key=repr)
     menu = "Home News Sport Weather Travel Culture Money About Us"
     want = [(1, "own <text>"), (2, ""), (2, ""), (3, ""), (None, "loose"), (4, "first page only"), (5, "second page only"), (5, "second page only"), (6, f"{menu}\nother host"), (7, "\n".join(["long text here"] * 20_000))]
-    want += [(8, "shared by both of the articles, so it is content"), (9, "shared by both of the articles, so it is content\ntwo")]
+    want += [(8, "shared by both of the articles, so it is content\nSubscribe to our letter and never miss a story"), (9, "shared by both of the articles, so it is content\ntwo")]
     assert found == sorted(want, key=repr)
     assert html_extract.main_texts(pages.limit(0)).isEmpty()
 
 
+def test_articles_stay_whole(spark):
+    """An advert or a menu that says what a paragraph says takes nothing from it; a notice in the
+    articles of nearly all of a host's pages goes; copies of a page count once."""
+    notice, quote = "All rights to this article are reserved by its publisher", "This one sentence of an article is quoted by many adverts"
+    page = lambda i, own, more="": f"<nav>{quote}</nav><article><p>{own}</p>{more}<p>Text {i} of the article</p></article><div class=ad>{quote}</div>"
+    rows = [(i, "http://a/x", page(i, quote if i == 3 else f"first {i}", f"<p>{notice}</p>" if i != 5 else "")) for i in range(20)]
+    rows += [(100 + i, "http://b/x", page(1, notice, f"<p>{notice}</p>")) for i in range(30)]  # copies of one page
+    rows += [(200 + i, "http://c/x", page(i, f"first {i}", f"<p>{notice}</p>" if i < 8 else "")) for i in range(20)]  # in some articles only
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.main_texts(pages).collect()}
+    assert all(found[i] == f"{quote if i == 3 else f'first {i}'}\nText {i} of the article" for i in range(20))
+    assert all(found[100 + i] == f"{notice}\n{notice}\nText 1 of the article" for i in range(30))
+    assert all((notice in found[200 + i]) == (i < 8) for i in range(20))
+
+
+def test_query_keeps_every_article_block(spark, sf):
+    """Against the parser alone: of the pages' declared articles nothing goes."""
+    from graphmill.llm.queries import op5_html_text
+
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    found = op5_html_text(spark, sf).collect()
+    assert len(found) == len(html) and all(r.text == html_extract.main_text(html_extract.blocks_of(html[r.page_id] or "")) for r in found)
+
+
 def test_repeated_runs_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     runs = [" ".join(rng.choice(list("abcdefgh"), 12)) for _ in range(3)]
