@@ -36,23 +36,35 @@ def dense_position(df: DataFrame, group: list[str], order: str, width: int = 1 <
     return placed.withColumn("pos", F.col("_before") + F.col("_own")).drop("_run", "_own", "_before")
 
 
+def border(counts: DataFrame, digit: Column, start: DataFrame) -> DataFrame:
+    """One row (digit, before, quota): the smallest digit at which the cumulative count,
+    from before on, passes the quota (null: none does), and the count below it.
+    counts: (count, digit's columns), few digits; start: one row (before, quota)."""
+    sums = counts.groupBy(digit.alias("_d")).agg(F.sum("count").alias("_n")).join(F.broadcast(start))
+    upto = F.col("before") + F.sum("_n").over(Window.orderBy("_d"))
+    passed = sums.withColumn("_upto", upto).agg(F.min(F.when(F.col("_upto") > F.col("quota"), F.col("_d"))).alias("digit"), F.max(F.when(F.col("_upto") <= F.col("quota"), F.col("_upto"))).alias("_below"))
+    return passed.join(F.broadcast(start)).select("digit", F.coalesce("_below", "before").alias("before"), "quota")
+
+
 def split(edges: DataFrame, seed: int = 42, tenths: int = 9) -> DataFrame:
     """Adds split: 'train' for the first floor(n * tenths / 10) edges in the
     order of a hash, 'val' for the rest.
 
-    Only counts per hash prefix (at most 1,024 rows) are gathered; one prefix
-    straddles the border, and only its rows are ranked.
+    The border is found by radix: counts of the hash's first 20 bits (combined
+    map-side), cumulated over their first 10 bits and then, in the one that holds the
+    border, over the next 10. Only the rows of one prefix of 20 bits are ranked, about a
+    millionth of all; for the others a comparison decides.
     """
-    hashed = edges.withColumn("_h", draw(seed, *[F.col(c) for c in EDGE])).withColumn("_b", F.shiftright("_h", 22))
-    counts = hashed.groupBy("_b").count().orderBy("_b")
-    upto = Window.orderBy("_b")
-    counts = counts.select("_b", F.sum("count").over(upto).alias("_upto"), F.col("count").alias("_n"))
-    counts = counts.withColumn("_quota", F.floor(F.max("_upto").over(Window.partitionBy(F.lit(1))) * tenths / 10))
-    placed = hashed.join(F.broadcast(counts), "_b")
-    whole = placed.where("_upto <= _quota OR _upto - _n >= _quota").withColumn("split", F.when(F.col("_upto") <= F.col("_quota"), "train").otherwise("val"))
-    edge = placed.where("_upto > _quota AND _upto - _n < _quota")
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *EDGE))
-    edge = edge.withColumn("split", F.when(F.col("_upto") - F.col("_n") + rank <= F.col("_quota"), "train").otherwise("val"))
+    hashed = edges.withColumn("_h", draw(seed, *[F.col(c) for c in EDGE])).withColumn("_p", F.shiftright("_h", 12))
+    counts = hashed.groupBy("_p").count()
+    start = counts.agg(F.lit(0).cast("long").alias("before"), F.floor(F.coalesce(F.sum("count"), F.lit(0)) * tenths / 10).alias("quota"))
+    first = border(counts, F.shiftright("_p", 10), start)
+    inside = counts.join(F.broadcast(first.select("digit")), F.shiftright("_p", 10) == F.col("digit")).select("_p", "count")
+    second = border(inside, F.col("_p"), first.select("before", "quota"))
+    placed = hashed.join(F.broadcast(second))
+    whole = placed.where("digit IS NULL OR _p <> digit").withColumn("split", F.when(F.col("_p") >= F.col("digit"), "val").otherwise("train"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", *EDGE))
+    edge = placed.where("_p = digit").withColumn("split", F.when(F.col("before") + rank <= F.col("quota"), "train").otherwise("val"))
     return whole.unionByName(edge).select(*edges.columns, "split")
 
 

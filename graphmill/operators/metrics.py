@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.functions.lineage import settled
+
+#: Distinct scores that one task cumulates, about.
+RANGE = 1 << 20
+
 
 def bce(logit: Column, label: Column) -> Column:
     """Binary cross-entropy of a logit, stable at both ends."""
@@ -33,17 +38,21 @@ def by_score(preds: DataFrame) -> DataFrame:
     return preds.groupBy(F.col("y_score").alias("s")).agg(F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") != 1).alias("n"))
 
 
-def cumulated(scores: DataFrame, ranges: int = 64) -> DataFrame:
-    """by_score() rows with tp and fp: sums down to and including each score.
+def cumulated(scores: DataFrame, size: int = RANGE) -> DataFrame:
+    """by_score() rows with tp and fp, sums down to and including each score, and r, the
+    range a score is in, from the highest.
 
-    Scores are cut into ranges by approximate quantiles; sums within a range are
-    shifted by the sums of the ranges above (ranges rows), so no task holds all.
+    Scores are dealt by range into as many partitions as make about size rows each; sums
+    within a range are shifted by the sums of the ranges above, a row per range.
     """
-    cuts = F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 1000)
-    bounds = scores.agg(cuts.alias("cuts"))
-    placed = scores.join(F.broadcast(bounds)).withColumn("r", F.size(F.filter("cuts", lambda c: c <= F.col("s"))))
+    scores = settled(scores)
+    ranges = max(1, -(-scores.count() // size))
+    if ranges == 1:
+        placed = scores.withColumn("r", F.lit(0))
+    else:  # a checkpoint, so that a range's number stays its own
+        placed = settled(scores.repartitionByRange(ranges, F.desc("s")).withColumn("r", F.spark_partition_id()))
     sums = placed.groupBy("r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    above = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("r", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("an"))
     within = Window.partitionBy("r").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumns({"wp": F.sum("p").over(within), "wn": F.sum("n").over(within)}).join(F.broadcast(sums), "r")
@@ -66,7 +75,7 @@ def roc_points(preds: DataFrame) -> DataFrame:
     # equal; a step is its score's own counts. The step after a range's last score
     # is the first one of the next range, found in a table of one row per range.
     firsts = c.groupBy("r").agg(F.max_by(F.struct("p", "n"), "s").alias("first"))
-    firsts = firsts.select("r", F.lead("first").over(Window.orderBy(F.desc("r"))).alias("then"), (F.row_number().over(Window.orderBy(F.desc("r"))) == 1).alias("top"))
+    firsts = firsts.select("r", F.lead("first").over(Window.orderBy("r")).alias("then"), (F.row_number().over(Window.orderBy("r")) == 1).alias("top"))
     order = Window.partitionBy("r").orderBy(F.desc("s"))
     ahead = c.withColumns({"next": F.lead(F.struct("p", "n")).over(order), "place": F.row_number().over(order)}).join(F.broadcast(firsts), "r")
     ahead = ahead.withColumn("next", F.coalesce("next", "then"))

@@ -8,6 +8,8 @@ first attempt left is the negative. Rows whose attempts all fail are dropped.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,75 +115,50 @@ def head_negatives(positives: DataFrame, heads: DataFrame, banned: DataFrame, *,
     return best.select("x_index", "y_index", F.lit(0).alias("label"), F.lit("indication").alias("relation"))
 
 
-class Walk:
-    """Rows of a table in order of a hash, fetched a few at a time: those after a
-    place whose end (0: x_index, 1: y_index) is not covered yet."""
-
-    def __init__(self, ordered: DataFrame, fetch: int):
-        self.ordered, self.fetch = ordered, fetch
-        self.covered: tuple[set, set] = (set(), set())
-        self.restart()
-
-    def restart(self) -> None:
-        self.held: list[list | None] = [None, None]  # rows still ahead; None: not fetched yet
-        self.more = [True, True]
-
-    def rows_after(self, place: tuple | None, end: int) -> list[tuple]:
-        key = ("x_index", "y_index")[end]
-        rows = self.ordered.where(~F.col(key).isin(self.covered[end])) if self.covered[end] else self.ordered
-        if place is not None:
-            h, x, y = place
-            rows = rows.where((F.col("h") > h) | (F.col("h") == h) & ((F.col("x_index") > x) | (F.col("x_index") == x) & (F.col("y_index") > y)))
-        return [tuple(r) for r in rows.orderBy("h", "x_index", "y_index").limit(self.fetch).collect()]
-
-    def next(self, place: tuple | None, end: int) -> tuple | None:
-        """The first row after place whose end is new."""
-        while True:
-            held = self.held[end]
-            while held and (held[0][1 + end] in self.covered[end] or place is not None and held[0] <= place):
-                held.pop(0)
-            if held:
-                return held[0]
-            if not self.more[end]:
-                return None
-            self.held[end] = self.rows_after(place, end)
-            self.more[end] = len(self.held[end]) == self.fetch
-
-
-def coverage_sample(pairs: DataFrame, size: int = 500, share: float = 0.9, seed: int = 42, fetch: int = 2000) -> DataFrame:
-    """Greedy two-sided coverage, a strictly sequential rule over distinct pairs
-    (those with a null are left out).
-
-    Rows are visited in the order of a hash, again and again: in turn 0 a row
-    with a new x (or, below share * size rows, a new y) is taken, in turn 1
-    with x and y in each other's place; every take flips the turn and covers
-    both ends. When a pass takes nothing, the rest is filled in that order.
-
-    Of all rows only those can be taken that are new in an end, so the walk asks
-    Spark for the next `fetch` of these after its place, by each end, and goes on
-    from there: the result is that of a walk over all rows, while the driver holds
-    2 * fetch rows and the sample. The table is read about once per fetch.
+def coverage_sample(pairs: DataFrame, size: int = 500, share: float = 0.9, seed: int = 42) -> DataFrame:
+    """Greedy two-sided coverage of distinct pairs (those with a null are left out).
+
+    The rule: rows are visited in the order of a hash, again and again. Below share * size
+    rows, one with a new x or a new y is taken; from there on, every take flips a turn,
+    and in turn 0 x must be new, in turn 1 y. When a pass takes nothing, the rest
+    is filled in that order.
+
+    The first part needs no walk: a row is taken exactly if it is the first of its x or
+    the first of its y, since these firsts are always taken and cover all others. They come
+    from two aggregations. Of the rest only rows with an end that nothing taken
+    covers can follow; each take is the first of these after the last one, a minimum over
+    a table that lost the covered ends by anti joins. There are at most (1 - share) * size
+    such takes, of which the driver sees one row each; what is taken is at most size rows.
     """
-    spark = pairs.sparkSession
-    ordered = pairs.select(draw(seed, F.col("x_index"), F.col("y_index")).alias("h"), "x_index", "y_index").dropna()
-    walk, taken, turn, place, took = Walk(ordered, fetch), [], 0, None, False
-    while len(taken) < size:
-        ends = (0, 1) if len(taken) < share * size else (turn,)
-        ahead = [r for r in (walk.next(place, end) for end in ends) if r is not None]
-        if ahead:
-            place = min(ahead)
-            taken.append(place)
-            for end in (0, 1):
-                walk.covered[end].add(place[1 + end])
-            turn, took = 1 - turn, True
-        elif took:  # another pass, from the first row
-            place, took = None, False
-            walk.restart()
-        else:
-            break
-    found = spark.createDataFrame([r[1:] for r in taken], "x_index long, y_index long")
-    rest = size - len(taken)
-    if rest:
-        left = ordered.join(F.broadcast(found), ["x_index", "y_index"], "left_anti").orderBy("h", "x_index", "y_index").limit(rest)
-        found = found.unionByName(left.select("x_index", "y_index"))
+    spark, cols = pairs.sparkSession, ["h", "x_index", "y_index"]
+    ordered = settled(pairs.select(draw(seed, F.col("x_index"), F.col("y_index")).alias("h"), "x_index", "y_index").dropna())
+    row = F.struct(*cols)
+    firsts = ordered.groupBy("x_index").agg(F.min(row).alias("r")).select("r.*").union(ordered.groupBy("y_index").agg(F.min(row).alias("r")).select("r.*")).distinct()
+    most = min(size, ceil(share * size))
+    taken = settled(firsts.orderBy(*cols).limit(most))
+    n, last = taken.agg(F.count("*").alias("n"), F.max(row).alias("r")).first()
+    if n == most:
+        left = ordered
+        for end in ("x_index", "y_index"):
+            left = left.join(F.broadcast(taken.select(end).distinct().withColumn(f"{end}_old", F.lit(True))), end, "left")
+        left = settled(left.where("x_index_old IS NULL OR y_index_old IS NULL").select(*cols))  # none of them stands before the last row taken
+        took, place = True, last
+        while n < size:
+            end = ("x_index", "y_index")[n % 2]
+            new = left.join(F.broadcast(taken.select(end)), end, "left_anti").select(*cols)
+            if place is not None:
+                new = new.where(row > F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(cols, place, strict=True)]))
+            found = new.agg(F.min(row).alias("r")).first().r
+            if found is not None:
+                taken = taken.unionByName(spark.createDataFrame([tuple(found)], "h long, x_index long, y_index long"))
+                taken = settled(taken) if n % 16 == 0 else taken
+                n, took, place = n + 1, True, found
+            elif took:  # another pass, from the first row
+                took, place = False, None
+            else:
+                break
+    found = taken.select("x_index", "y_index")
+    if n < size:
+        fill = ordered.join(F.broadcast(found), ["x_index", "y_index"], "left_anti").orderBy(*cols).limit(size - n)
+        found = found.unionByName(fill.select("x_index", "y_index"))
     return found

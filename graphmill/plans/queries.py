@@ -597,7 +597,20 @@ def shuffle_order(spark, d):
     return E.shuffled(rows, E.EDGE, 7)
 
 
-@query()
+@query(f"""WITH RECURSIVE pairs AS MATERIALIZED (SELECT x, y, row_number() OVER (ORDER BY {H.format("'42|' || x || '|' || y")}, x, y) AS ord FROM (SELECT DISTINCT l_suppkey + 10000000 AS x, l_partkey AS y FROM lineitem)),
+firsts AS (SELECT min(ord) AS ord FROM pairs GROUP BY x UNION SELECT min(ord) FROM pairs GROUP BY y),
+part_one AS MATERIALIZED (SELECT x, y, ord FROM pairs JOIN firsts USING (ord) ORDER BY ord LIMIT 450),
+state AS (SELECT max(ord) AS ord, count(*) AS n, list(x) AS xs, list(y) AS ys FROM part_one),
+open_pairs AS MATERIALIZED (SELECT x, y, pairs.ord FROM pairs, state WHERE n = 450 AND (x NOT IN (SELECT x FROM part_one) OR y NOT IN (SELECT y FROM part_one))),
+walk AS (
+  SELECT ord, n, xs, ys, true AS took, NULL::BIGINT AS hit FROM state
+  UNION ALL
+  SELECT coalesce(c.ord, 0), n + (c.ord IS NOT NULL)::INT, CASE WHEN c.ord IS NULL THEN xs ELSE list_append(xs, c.x) END, CASE WHEN c.ord IS NULL THEN ys ELSE list_append(ys, c.y) END, c.ord IS NOT NULL, c.ord
+  FROM (SELECT w.ord AS at, any_value(n) AS n, any_value(xs) AS xs, any_value(ys) AS ys, any_value(took) AS took, arg_min(struct_pack(ord := p.ord, x := p.x, y := p.y), p.ord) FILTER (p.ord IS NOT NULL) AS c
+    FROM walk w LEFT JOIN open_pairs p ON p.ord > w.ord AND CASE WHEN n % 2 = 0 THEN NOT list_contains(xs, p.x) ELSE NOT list_contains(ys, p.y) END WHERE n >= 450 AND n < 500 GROUP BY w.ord) WHERE c IS NOT NULL OR took),
+taken AS MATERIALIZED (SELECT ord FROM part_one UNION SELECT hit FROM walk WHERE hit IS NOT NULL),
+fill AS (SELECT ord FROM (SELECT ord, row_number() OVER (ORDER BY ord) AS k FROM pairs ANTI JOIN taken USING (ord)) WHERE k <= 500 - (SELECT count(*) FROM taken))
+SELECT x AS x_index, y AS y_index FROM pairs WHERE ord IN (SELECT ord FROM taken UNION ALL SELECT ord FROM fill)""")
 def coverage_sample(spark, d):
     return S.coverage_sample(T.supply(spark, d).select("x_index", "y_index").distinct())
 

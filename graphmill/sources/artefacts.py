@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.operators.metrics import metric_lines, roc_points
+from graphmill.operators.metrics import metric_lines, roc_points, summary
 from graphmill.operators.similarity import degrees_of
 
 
@@ -71,12 +71,24 @@ def named_copy(path: str, suffix: str = "_llm") -> str:
 
 def each_model(models: dict[str, Callable[[], DataFrame]]) -> tuple[list[DataFrame], dict[str, str]]:
     """Metric rows of the models that can be evaluated, and what went wrong with the
-    others; a model that fails doesn't stop the rest."""
+    others: whatever a model's evaluation raises doesn't stop the rest. Each is run once;
+    what it found, a row or a few, is what is returned."""
     rows, failed = [], {}
     for name, evaluate in models.items():
         try:
-            row = evaluate().collect()  # one row
-            rows.append((row, evaluate))
-        except (PySparkException, ValueError, FileNotFoundError) as error:
-            failed[name] = str(error).splitlines()[0]
-    return [make() for _, make in rows], failed
+            found = evaluate()
+            rows.append(found.sparkSession.createDataFrame(found.collect(), found.schema))
+        except Exception as error:  # noqa: BLE001
+            failed[name] = (str(error) or type(error).__name__).splitlines()[0]
+    return rows, failed
+
+
+def compared(models: dict[str, Callable[[], DataFrame]], path: str) -> tuple[DataFrame | None, dict[str, str]]:
+    """The metric rows of all models that can be evaluated, best first, written as CSV;
+    None where none can."""
+    rows, failed = each_model(models)
+    if not rows:
+        return None, failed
+    out = summary(rows)
+    out.coalesce(1).write.mode("overwrite").csv(path, header=True)  # a row per model
+    return out, failed

@@ -99,13 +99,13 @@ def plain_walk(ordered, size, share=0.9):
     return taken
 
 
-@pytest.mark.parametrize(("xs", "ys", "size", "fetch"), [(20, 30, 40, 7), (200, 15, 60, 5), (9, 300, 100, 50), (40, 40, 500, 3), (3, 2, 40, 2)])
-def test_coverage_sample_is_the_walk_over_all_rows(spark, xs, ys, size, fetch):
+@pytest.mark.parametrize(("xs", "ys", "size"), [(20, 30, 40), (200, 15, 60), (9, 300, 100), (40, 40, 500), (3, 2, 40), (150, 150, 60)])
+def test_coverage_sample_is_the_walk_over_all_rows(spark, xs, ys, size):
     rng = np.random.default_rng(xs)
     pairs = sorted({(int(x), int(y)) for x, y in zip(rng.integers(0, xs, 400), rng.integers(0, ys, 400))})
     df = spark.createDataFrame([*pairs, (None, 1)], "x_index long, y_index long").repartition(3)
     order = E.shuffled(df.dropna(), ["x_index", "y_index"], 42).collect()
-    assert rows(S.coverage_sample(df, size=size, fetch=fetch)) == sorted(plain_walk([tuple(r) for r in order], size), key=repr)
+    assert rows(S.coverage_sample(df, size=size)) == sorted(plain_walk([tuple(r) for r in order], size), key=repr)
 
 
 ONTOLOGY = """{"graphs": [{"nodes": [
@@ -166,7 +166,7 @@ def test_blend(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [5.0, 5.0]), (9, [7.0, 7.0])], "node long, vector array<double>")
     sim = J.both_ways(spark.createDataFrame([(1, 2, 0.5)], "i long, j long, sim double"), spark.createDataFrame([(1,), (2,), (3,)], "node long"))
     degrees = spark.createDataFrame([(1, 0), (2, 1), (3, 5)], "node long, degree long")
-    found = dict(rows(J.blended(vectors, sim, degrees)))
+    found = dict(rows(J.blended(vectors, sim, degrees, 2)))
     c = 0.9
     assert np.allclose(found[1], [c * 2 / 3 + 1 - c, c / 3]) and found[9] == [7.0, 7.0] and np.allclose(found[3], [5, 5])
 
@@ -210,6 +210,26 @@ def test_roc(spark):
     assert math.isclose(M.auc_by_area(df).first().auc, M.auc_by_rank(df).first().auc)
 
 
+def test_cumulated_over_many_ranges(spark, monkeypatch):
+    """However few scores a range holds, the sums are those of all."""
+    rng = np.random.default_rng(1)
+    pairs = [(int(y), float(s)) for y, s in zip(rng.integers(0, 2, 300), rng.integers(0, 90, 300) / 7, strict=True)]
+    df = preds(spark, pairs)
+    found = {r.s: (r.tp, r.fp) for r in M.cumulated(M.by_score(df), 5).collect()}
+    assert found == {s: (sum(y for y, x in pairs if x >= s), sum(1 - y for y, x in pairs if x >= s)) for _, s in pairs}
+    want = rows(M.roc_points(df))
+    monkeypatch.setattr(M.cumulated, "__defaults__", (5,))
+    assert rows(M.roc_points(df)) == want
+
+
+@pytest.mark.parametrize(("n", "tenths"), [(0, 9), (1, 9), (10, 9), (500, 7), (40, 10), (40, 0)])
+def test_split_takes_the_first_by_hash(spark, n, tenths):
+    df = spark.createDataFrame([("r", i, i + 1) for i in range(n)], "relation string, src long, dst long")
+    got = {(r.src, r.split) for r in E.split(df, tenths=tenths).collect()}
+    order = [r.src for r in E.shuffled(df, E.EDGE, 42).collect()]
+    assert got == {(s, "train" if k < n * tenths // 10 else "val") for k, s in enumerate(order)}
+
+
 def test_early_stop(spark):
     history = spark.createDataFrame(list(enumerate([0.5, 0.6, 0.6, 0.6, 0.7, 0.1])), "epoch int, value double")
     assert [r.epoch for r in M.early_stop(history, 2).orderBy("epoch").collect()] == [0, 1, 2, 3]
@@ -284,8 +304,13 @@ def test_evaluation_artefacts(spark, tmp_path):
     def broken():
         raise FileNotFoundError("no weights")
 
-    good, failed = A.each_model({"x": broken, "m": lambda: row})
-    assert len(good) == 1 and failed == {"x": "no weights"}
+    calls = []
+    models = {"x": broken, "y": lambda: {}["z"], "m": lambda: calls.append(1) or row}
+    good, failed = A.each_model(models)
+    assert len(good) == 1 and failed == {"x": "no weights", "y": "'z'"} and good[0].first() == row.first() and calls == [1]
+    table, failed = A.compared(models, f"{tmp_path}/all.csv")
+    assert len(failed) == 2 and [r.model for r in spark.read.csv(f"{tmp_path}/all.csv", header=True).collect()] == ["m"] and table.count() == 1
+    assert A.compared({"x": broken}, f"{tmp_path}/none.csv") == (None, {"x": "no weights"})
 
 
 def test_batches(spark):
