@@ -393,3 +393,28 @@ def test_warc_reader_rejects_damage():
             list(warc.read_records(io.BytesIO(gzip.compress(bad))))
     with pytest.raises((EOFError, zlib.error)):
         list(warc.read_records(io.BytesIO(gzip.compress(good)[:-12])))
+
+
+KEY = "Zk4Qw8Lm2Rt7Xv9B"
+
+
+@pytest.mark.parametrize("text", [
+    f'#define PRIVATE_KEY "{KEY}"', f'client.setPassword("{KEY}")', f'private_key, x = "{KEY}", 1', f'x, private_key = 1, "{KEY}"', f'client_secret = KEY\nKEY = "{KEY}"', f'token_name = B\nB = C\nC = "{KEY}"',
+    f'options.put("api_key", "{KEY}");', f'setattr(self, "client_secret", "{KEY}")', f"a = '{{\"b\": \"c = `client_secret: {KEY}`\"}}'", "very_" * 60 + f'secret_key = "{KEY}"', 'client_secret = getenv("A", ' + "(1), " * 100 + f'"{KEY}")',
+])
+def test_literals_without_bounds(text):
+    assert [text[a:b] for a, b in secret_scan.literal_spans(text)] == [KEY]
+
+
+def test_no_part_of_a_joined_literal_is_left():
+    text = "private_key = " + " + ".join(f'"{KEY}{i:02d}"' for i in range(200))
+    assert KEY not in secret_scan.redacted_text(text)
+
+
+@pytest.mark.parametrize("part", ["a=(", "f(a=", 'x="a"+', "a, b = ", "set(", "f(a=f(", "k=b\n", "a.setToken(", "a=b,", '"a: \\"', "a:b|", "x = y or "])
+def test_lexer_takes_linear_time(part):
+    import time
+
+    began = time.perf_counter()
+    secret_scan.spans_of(part * (60_000 // len(part)))
+    assert time.perf_counter() - began < 5
