@@ -68,7 +68,7 @@ PIVOTS, MORE = 32, 8
 #: Members of a component that are compared to its pivots in one task, about.
 SPLIT = 1000
 #: (query, leaf) pairs that a search may hold at once.
-FRONT = 1 << 20
+FRONT = 1 << 18
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
 
