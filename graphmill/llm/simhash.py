@@ -9,15 +9,16 @@ again by the bits it doesn't share yet: what remains of the blocks is cut again
 into distance + 1 blocks, to which the same argument applies, and so on while
 buckets are too large and the cuts (a fixed table) have no more than CUTS rows.
 
-Within a bucket the fingerprints stand in Gray order, in which neighbours differ
-in few bits. An index node covers a run of them and holds the bits that all of
-them share (mask and pattern); a node's own mask is what its parent hasn't
-factored out. A search adds up differences on the way down and drops a whole
-node once the sum exceeds the distance, takes a whole node at once if even its
-unshared bits can't exceed it, and drops nodes whose members are already
-connected to the query. Buckets of few leaves, which no node above a leaf would
-prune, are compared along the Gray order, many buckets in one sweep. Links come
-out as a spanning forest, at most one row per member, never all pairs.
+Whole buckets of the same block make groups of about GROUP rows, each with one index.
+In it the fingerprints stand in the Gray order of their bits, those of the block on
+top, in which neighbours differ in few bits. An index node covers a run of them and
+holds the bits that all of them share (mask and pattern); a node's own mask is what its
+parent hasn't factored out. Every fingerprint is searched from the root: differences
+add up on the way down, and a whole node is dropped once they exceed the distance
+(one in the block's bits does so alone: such pairs meet in another block's index),
+linked at once if even its unshared bits can't exceed it, and dropped if its members
+are all connected to the query already. Links come out as a spanning forest, at most
+one row per member, never all pairs.
 
 The links' connected components come from repeated large-star and small-star
 steps over rows of links, written to the shared folder after each round; only
@@ -58,8 +59,8 @@ SHINGLE = 4
 DISTANCE = 4
 #: Members of a bucket above which it is dealt out again, and the most rows of the table of cuts.
 BUCKET, CUTS = 8192, 5000
-#: Rows of the buckets that one call searches, about, and of a bucket that is compared in one sweep.
-GROUP, SWEEP = 32_768, 64
+#: Rows of the buckets that share an index, about.
+GROUP = 32_768
 LEAF, FANOUT = 16, 8
 #: Of near_copies(): shingle, similarity, differing bits of the fingerprints of words.
 NEAR_SHINGLE, SIMILARITY, NEAR_DISTANCE = 5, 0.8, 7
@@ -67,8 +68,8 @@ NEAR_SHINGLE, SIMILARITY, NEAR_DISTANCE = 5, 0.8, 7
 PIVOTS, MORE = 32, 8
 #: Members of a component that are compared to its pivots in one task, about.
 SPLIT = 1000
-#: (query, leaf) pairs that a search may hold at once.
-FRONT = 1 << 18
+#: (query, node) pairs that a search looks at in one step; the next level has up to LEAF times as many.
+FRONT = 1 << 14
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
 
@@ -139,16 +140,28 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def bits_on_top(codes: np.ndarray, mask: int) -> np.ndarray:
+    """codes with their bits in another order, those of mask on top; distances stay."""
+    order = sorted(range(BITS), key=lambda bit: (mask >> bit & 1, bit))
+    bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="little")).view("<u8").ravel()
+
+
 class GrayIndex:
-    """A static tree over fingerprints in Gray order.
+    """A static tree over distinct fingerprints in the Gray order of their bits,
+    those of fixed on top.
 
     levels[0] are leaves of LEAF members; above, FANOUT nodes make one. Of each
     node: the bits all members share, their pattern, and of these bits the ones
     its parent doesn't share (own).
     """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+    def __init__(self, codes: np.ndarray, fixed: int = 0):
+        turned = bits_on_top(codes, fixed)
+        order = np.argsort(gray_rank(turned), kind="stable")
+        self.fingerprints, self.codes = codes[order], turned[order]
+        n = fixed.bit_count()
+        self.fixed = np.uint64((1 << BITS) - (1 << (BITS - n)))
         ones, both = self.codes.copy(), self.codes.copy()
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         size = LEAF
@@ -170,6 +183,10 @@ class GrayIndex:
     def members(self, level: int) -> int:
         return LEAF * FANOUT**level
 
+    def differences(self, x: np.ndarray) -> np.ndarray:
+        """Bits set in x; one among the fixed bits outweighs any distance."""
+        return popcount(x) + np.where(x & self.fixed, np.int16(BITS), np.int16(0))
+
 
 class Forest:
     """Union-find by array; find() resolves all at once."""
@@ -208,79 +225,69 @@ def same_root(roots: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.where(low == high, low, -1)
 
 
-def search(index: GrayIndex, forest: Forest, lo: int, hi: int, distance: int) -> np.ndarray:
-    """Links (i, j) of the members lo..hi to later members that are not yet
-    connected to them; a run whose members all must match is linked by its
-    first one (the run's own members are linked to one another elsewhere)."""
-    codes, n = index.codes, len(index.codes)
-    roots = forest.flatten()
-    top = len(index.levels) - 1
-    queries = np.arange(lo, hi)
-    nodes, sums = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int16)
-    links = []
-    for level in range(top, -1, -1):
+def index_links(codes: np.ndarray, distance: int = DISTANCE, fixed: int = 0) -> tuple[np.ndarray, list[int]]:
+    """A spanning forest of the links among distinct codes that agree in the bits of
+    fixed, as rows of two codes (links between codes that differ there may be among
+    them), and how many nodes each level, leaves first, dropped with all their members.
+
+    Every code is sent down the tree from its root. The front of (query, node) pairs is
+    taken depth first in pieces, so that memory stays bounded, and links are joined
+    into the forest as they are found: nodes whose members are all connected to the
+    query already are dropped like those that differ too much. A node whose members
+    must all match is linked by its first one (its members agree in the fixed bits and
+    are linked to one another further down).
+    """
+    index = GrayIndex(codes, fixed)
+    codes, n, top = index.codes, len(codes), len(index.levels) - 1
+    forest, kept, dropped = Forest(n), [], [0] * (top + 1)
+    for apart in range(1, min(LEAF, n)):  # neighbours in Gray order first
+        near = np.flatnonzero(popcount(codes[apart:] ^ codes[:-apart]) <= distance)
+        kept += forest.join(np.stack([near, near + apart], 1))
+    front = [(top, np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int16))]
+    while front:
+        level, queries, nodes, sums = front.pop()
+        if len(queries) > FRONT:
+            half = len(queries) // 2
+            front += [(level, queries[half:], nodes[half:], sums[half:]), (level, queries[:half], nodes[:half], sums[:half])]
+            continue
+        roots = forest.flatten()
+        if level < 0:
+            near = (nodes > queries) & (roots[nodes] != roots[queries])
+            queries, nodes = queries[near], nodes[near]
+            near = index.differences(codes[queries] ^ codes[nodes]) <= distance
+            kept += forest.join(np.stack([queries[near], nodes[near]], 1))
+            continue
         shared, pattern = index.levels[level]
         width = index.members(level)
-        sums = sums + popcount((codes[queries] ^ pattern[nodes]) & index.own[level][nodes])
+        sums = sums + index.differences((codes[queries] ^ pattern[nodes]) & index.own[level][nodes])
         ends = np.minimum((nodes + 1) * width, n)
         one = same_root(roots, np.arange(0, n, width))[nodes]
         open_ = (sums <= distance) & (ends - 1 > queries) & (one != roots[queries])
+        dropped[level] += len(queries) - int(open_.sum())
         queries, nodes, sums = queries[open_], nodes[open_], sums[open_]
-        whole = (sums + popcount(~shared[nodes]) <= distance) & (nodes * width > queries)
-        links.append(np.stack([queries[whole], nodes[whole] * width], 1))
+        whole = (sums + index.differences(~shared[nodes]) <= distance) & (nodes * width > queries)
+        kept += forest.join(np.stack([queries[whole], nodes[whole] * width], 1))
         queries, nodes, sums = queries[~whole], nodes[~whole], sums[~whole]
         step = FANOUT if level else LEAF
         last = len(index.levels[level - 1][0]) if level else n
         queries, sums = np.repeat(queries, step), np.repeat(sums, step)
         nodes = (nodes[:, None] * step + np.arange(step)).ravel()
         inside = nodes < last
-        queries, nodes, sums = queries[inside], nodes[inside], sums[inside]
-    near = (nodes > queries) & (roots[nodes] != roots[queries])
-    queries, nodes = queries[near], nodes[near]
-    near = popcount(codes[queries] ^ codes[nodes]) <= distance
-    links.append(np.stack([queries[near], nodes[near]], 1))
-    return np.concatenate(links)
-
-
-def bucket_links(codes: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct codes, as pairs of codes."""
-    index, forest = GrayIndex(codes), Forest(len(codes))
-    codes, kept = index.codes, []
-    for apart in range(1, min(LEAF, len(codes))):  # neighbours in Gray order first
-        near = np.flatnonzero(popcount(codes[apart:] ^ codes[:-apart]) <= distance)
-        kept += forest.join(np.stack([near, near + apart], 1))
-    if len(codes) > LEAF:
-        size = max(1, FRONT // len(index.levels[0][0]))
-        for lo in range(0, len(codes), size):
-            kept += forest.join(search(index, forest, lo, min(lo + size, len(codes)), distance))
-    return [(int(codes[a]), int(codes[b])) for a, b in kept]
+        if inside.any():
+            front.append((level - 1, queries[inside], nodes[inside], sums[inside]))
+    return index.fingerprints[np.array(kept, np.int64).reshape(-1, 2)], dropped
 
 
 def links_of_group(distance: int):
-    """For applyInPandas: a forest of the links in a group of buckets (bucket, fp)."""
+    """For applyInPandas: a forest of the links among the buckets of one mask that a
+    group holds (columns used, fp), through one index."""
 
     def links(pdf):
         import pandas as pd
 
-        codes, bucket = pdf["fp"].to_numpy().view(np.uint64), pdf["bucket"].to_numpy()
-        order = np.lexsort((gray_rank(codes), bucket))
-        codes, bucket = codes[order], bucket[order]
-        distinct, place = np.unique(codes, return_inverse=True)
-        forest, kept = Forest(len(distinct)), []
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        sizes = np.diff(np.append(cuts, len(bucket)))
-        few = np.repeat(sizes <= SWEEP, sizes)
-        small, key, at = codes[few], bucket[few], place[few]
-        for apart in range(1, SWEEP):
-            together = np.flatnonzero(key[apart:] == key[:-apart])
-            if not len(together):
-                break
-            near = together[popcount(small[together + apart] ^ small[together]) <= distance]
-            kept += forest.join(np.stack([at[near], at[near + apart]], 1))
-        for first, size in zip(cuts[sizes > SWEEP].tolist(), sizes[sizes > SWEEP].tolist(), strict=True):
-            found = np.array(bucket_links(codes[first : first + size], distance), np.uint64).reshape(-1, 2)
-            kept += forest.join(np.searchsorted(distinct, found))
-        pairs = distinct[np.array(kept, np.int64).reshape(-1, 2)].view(np.int64)
+        fixed = unsigned(int(pdf["used"].iloc[0]))
+        pairs, _ = index_links(np.unique(pdf["fp"].to_numpy().view(np.uint64)), distance, fixed)
+        pairs = pairs.view(np.int64)
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
     return links
@@ -292,8 +299,9 @@ def cuts_of(used: int, distance: int) -> list[int]:
 
 
 def bucketed(prints: DataFrame, distance: int) -> DataFrame:
-    """(bucket, fp): every pair within the distance shares a bucket of at most
-    BUCKET rows, or one whose members share the bits of all levels of cuts."""
+    """(bucket, used, fp): every pair within the distance shares a bucket of at most
+    BUCKET rows, or one whose members share the bits of all levels of cuts; used is the
+    mask of the bits that a bucket's members share."""
     spark = prints.sparkSession
     open_ = prints.select(F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("used"), "fp")
     done, uses = [], [0]
@@ -315,9 +323,9 @@ def bucketed(prints: DataFrame, distance: int) -> DataFrame:
             break
         done.append(dealt.join(large, "bucket", "left_anti"))
         open_ = dealt.join(large, "bucket", "left_semi")
-    out = done[0].select("bucket", "fp")
+    out = done[0].select("bucket", "used", "fp")
     for more in done[1:]:
-        out = out.unionByName(more.select("bucket", "fp"))
+        out = out.unionByName(more.select("bucket", "used", "fp"))
     return out
 
 
@@ -325,11 +333,16 @@ def unsigned(mask: int) -> int:
     return mask & ((1 << BITS) - 1)
 
 
+def grouped(prints: DataFrame, distance: int) -> DataFrame:
+    """(group, used, fp): whole buckets of one mask, about GROUP rows a group."""
+    groups = max(1, prints.count() // GROUP)
+    return bucketed(prints, distance).select(F.pmod("bucket", F.lit(groups)).alias("group"), "used", "fp")
+
+
 def linked(prints: DataFrame, distance: int) -> DataFrame:
     """(fp, root) of the distinct fingerprints that have a link."""
-    groups = max(1, prints.count() * (distance + 1) // GROUP)
-    dealt = bucketed(prints, distance).groupBy(F.pmod("bucket", F.lit(groups)).alias("group"))
-    return components(dealt.applyInPandas(links_of_group(distance), "a long, b long")).select(F.col("node").alias("fp"), "root")
+    links = grouped(prints, distance).groupBy("used", "group").applyInPandas(links_of_group(distance), "a long, b long")
+    return components(links).select(F.col("node").alias("fp"), "root")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -186,9 +186,33 @@ def test_gray_index_finds_all_components(seed):
         codes = codes ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
     codes = np.unique(codes)
     i, j = np.nonzero(np.triu(simhash.popcount(codes[:, None] ^ codes[None, :]) <= 4, 1))
-    links = simhash.bucket_links(codes)
+    want = roots(codes.tolist(), [(int(codes[a]), int(codes[b])) for a, b in zip(i, j)])
+    links = simhash.index_links(codes)[0].tolist()
     assert all((a ^ b).bit_count() <= 4 for a, b in links) and len(links) < len(codes)
-    assert roots(codes.tolist(), links) == roots(codes.tolist(), [(int(codes[a]), int(codes[b])) for a, b in zip(i, j)])
+    assert roots(codes.tolist(), links) == want
+    # Block by block: each index finds all links whose ends agree in its block, together they find every one.
+    every, monkey = [], simhash.FRONT
+    try:
+        simhash.FRONT = 50  # the front goes down the tree in many pieces
+        for mask in map(simhash.unsigned, simhash.cuts_of(0, 4)):
+            found = simhash.index_links(codes, 4, mask)[0].tolist()
+            agree = [(int(codes[a]), int(codes[b])) for a, b in zip(i, j) if not (int(codes[a]) ^ int(codes[b])) & mask]
+            ends = roots(codes.tolist(), found)
+            assert all(ends[a] == ends[b] for a, b in agree) and all((a ^ b).bit_count() <= 4 for a, b in found)
+            every += found
+    finally:
+        simhash.FRONT = monkey
+    assert roots(codes.tolist(), every) == want
+
+
+def test_gray_index_drops_groups():
+    """Of 20,000 random codes nearly all pairs go with a node far above them."""
+    codes = np.unique(np.random.default_rng(3).integers(0, 2**63, 20_000, dtype=np.uint64))
+    for mask in map(simhash.unsigned, simhash.cuts_of(0, 4)):
+        links, dropped = simhash.index_links(codes, 4, mask)
+        leaves = -(-len(codes) // simhash.LEAF)
+        assert len(dropped) == 5 and all(dropped[1:4])
+        assert sum(dropped) < 64 * len(codes) < leaves * len(codes) / 10
 
 
 def test_gray_order_changes_one_bit():

@@ -184,8 +184,18 @@ def test_near_duplicates(spark, wide, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 3)  # nearly all buckets are dealt out again, more than once
     monkeypatch.setattr(simhash, "GROUP", 40)
     assert found_components(df) == plain_components(texts)
-    monkeypatch.setattr(simhash, "SWEEP", 2)
-    assert found_components(df) == plain_components(texts)
+
+
+def test_the_query_goes_through_the_index(spark, sf):
+    """Every group of the query's own fingerprints is searched from its root, and nodes are dropped."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    prints = simhash.with_fingerprint(docs).select("fp").distinct()
+    rows = simhash.grouped(prints, simhash.DISTANCE).toPandas()
+    assert set(rows["used"]) == set(simhash.cuts_of(0, simhash.DISTANCE)) and len(rows) == 5 * prints.count()
+    for (used, _), group in rows.groupby(["used", "group"]):
+        codes = np.unique(group["fp"].to_numpy().view(np.uint64))
+        links, dropped = simhash.index_links(codes, simhash.DISTANCE, simhash.unsigned(int(used)))
+        assert sum(dropped) > len(codes) > len(links)
 
 
 def test_components_of_a_long_chain(spark):
