@@ -32,7 +32,7 @@ import base64
 import gc
 import re
 from collections.abc import Iterator
-from functools import cache
+from contextlib import contextmanager
 from struct import pack
 
 import numpy as np
@@ -290,24 +290,30 @@ def splitter(pattern: str):
     return by_width
 
 
-@cache
 def parsed_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
-@cache
 def pieces_of(data: bytes) -> Pieces:
-    """A worker's transducer and its caches, kept from task to task."""
-    pieces = Pieces(parsed_ranks(data))
-    gc.freeze()  # the vocabulary stays; it needn't be traversed again and again
-    return pieces
+    return Pieces(parsed_ranks(data))
 
 
-@cache
 def decoder_of(data: bytes) -> Decoder:
     return Decoder(parsed_ranks(data))
 
 
+@contextmanager
+def task_tables(data: bytes) -> Iterator[tuple[Pieces, Decoder]]:
+    """A task's transducer, its caches and its decoder. They go with the task: the
+    worker's next task may belong to another operator with tables of its own."""
+    pieces, decoder = pieces_of(data), decoder_of(data)
+    gc.freeze()  # the vocabulary needn't be traversed again and again
+    try:
+        yield pieces, decoder
+    finally:
+        gc.unfreeze()
+
+
 class Tokenizer:
     """encode() and decode() on columns, for a rank file and split pattern."""
 
@@ -318,9 +324,10 @@ class Tokenizer:
 
         @F.arrow_udf("binary")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            pieces, split = pieces_of(vocabulary.value), splitter(pattern)
-            for texts in batches:
-                yield pa.array([b"".join(map(pieces.__getitem__, split(t))) for t in texts.to_pylist()], pa.binary())
+            with task_tables(vocabulary.value) as (pieces, _):
+                split = splitter(pattern)
+                for texts in batches:
+                    yield pa.array([b"".join(map(pieces.__getitem__, split(t))) for t in texts.to_pylist()], pa.binary())
 
         @F.arrow_udf("string")
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -330,10 +337,11 @@ class Tokenizer:
 
         @F.arrow_udf("ids binary, decoded string")
         def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            pieces, split, decoder = pieces_of(vocabulary.value), splitter(pattern), decoder_of(vocabulary.value)
-            for texts in batches:
-                ids = [b"".join(map(pieces.__getitem__, split(t))) for t in texts.to_pylist()]
-                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(decoder.decode, ids), pa.string())], ["ids", "decoded"])
+            with task_tables(vocabulary.value) as (pieces, decoder):
+                split = splitter(pattern)
+                for texts in batches:
+                    ids = [b"".join(map(pieces.__getitem__, split(t))) for t in texts.to_pylist()]
+                    yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(decoder.decode, ids), pa.string())], ["ids", "decoded"])
 
         self._encode, self._decode, self._both = encode, decode, both
         small_batches(spark)
