@@ -52,6 +52,8 @@ START, END = "^", "$"
 ASCII_WORDS, LETTERS = re.compile(r"[a-z]+"), regex.compile(r"\p{L}+")
 #: Words whose ratio a task remembers at once, and words a task counts before it sends them on.
 REMEMBERED, HELD = 100_000, 100_000
+#: Words whose n-grams a worker holds at once.
+LEARNED = 10_000
 
 
 def words_of(text: str) -> list[str]:
@@ -226,12 +228,14 @@ class WordRatios(dict):
         self.seen, self.unseen = model.seen, model.unseen
 
     def learn(self, words: Iterable[str]) -> None:
-        """Works out the ratios of words not yet known, all at once."""
+        """Works out the ratios of words not yet known, LEARNED at once."""
         new = [w for w in words if w not in self]
+        for at in range(0, len(new), LEARNED):
+            self.add(new[at : at + LEARNED])
+
+    def add(self, new: list[str]) -> None:
         grams = [grams_of(w) for w in new]
         flat = [g for gs in grams for g in gs]
-        if not flat:
-            return
         ratio, there = self.seen.find(hashes_of(flat))
         rest = np.flatnonzero(~there)
         ratio[rest] = self.unseen.find(hashes_of([flat[i][:-1] for i in rest]))[0]
