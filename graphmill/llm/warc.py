@@ -8,10 +8,15 @@ Content-Length and verifying block and payload digests.
 
 Records with equal payloads: that with the smallest page_id is the response,
 the others are revisits that refer to it. Digests are aggregated with map-side
-combining. A digest held by over 1/HOT of all rows (there are at most HOT of
-them) is joined by broadcast; every other digest by a shuffled join, in which
-no key then holds more than 1/HOT of the rows. Record ids are unique to archive and place;
-a page's id, which may repeat, has a field of its own.
+combining, without their pages. Hashes of the repeated digests make a bitmap of at
+most MAX_BITS bits (32 MB), which is broadcast: a page whose bit is not set is the only
+one of its payload and goes from the scan straight to the writer. Only pages
+whose bit is set (those with repeats, and of the others about one in SPARE, more where
+MAX_BITS is short) take part in a join. In it a digest held by over 1/HOT of all rows
+(there are at most HOT of them) is joined by broadcast, every other one by a shuffle in
+which no key then holds more than 1/HOT of the rows. So html is read three times
+(digests, singles, repeats) and singles are never shuffled. Record ids are unique to
+archive and place; a page's id, which may repeat, has a field of its own.
 
 Defined results: null html is the empty payload; a null url becomes the
 record's own URN; ids are cast to long (text that is no number is an error); rows tied on the smallest page_id of their payload are all
@@ -36,12 +41,28 @@ from pyspark.sql import functions as F
 from graphmill.llm.shared import file_system, scratch, text_of, written
 
 HOT = 1000
+#: Bits of the bitmap of repeated digests: SPARE for each, MAX_BITS at most.
+SPARE, MAX_BITS = 16, 1 << 28
 CHUNK = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "archive string, n_records long, n_bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def with_repeat_bit(keyed: DataFrame, shared: DataFrame) -> DataFrame:
+    """keyed (digest, ...) with repeats: false only where shared (digest, ...) doesn't
+    have the digest."""
+    n_bits = min(MAX_BITS, 1 << (SPARE * shared.count()).bit_length())
+    place = F.pmod(F.xxhash64("digest"), F.lit(n_bits)) + 1
+    bits = shared.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+    bits = written(bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")), "warc-bits")
+    placed = keyed.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("at", F.bitmap_bit_position(place))
+    out = placed.join(F.broadcast(bits), "bucket", "left")  # MAX_BITS / 32,768 rows of 4 KB at most
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.getbit(byte, (F.col("at") % 8).cast("int"))
+    return out.withColumn("repeats", F.coalesce(bit == 1, F.lit(False))).select(*keyed.columns, "repeats")
+
+
 def with_roles(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
     """page_id, url, payload, refers_to (null for a response) of each row."""
     body = text_of(html_col)
@@ -52,7 +73,14 @@ def with_roles(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, mi
     shared = keyed.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
     shared = shared.agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = written(shared, "warc-digests")
-    share = pages.count() // HOT
+    marked = with_repeat_bit(keyed, shared)
+    singles = marked.where(~F.col("repeats")).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    return singles.unionByName(referring(marked.where("repeats"), shared, pages.count() // HOT))
+
+
+def referring(keyed: DataFrame, shared: DataFrame, share: int) -> DataFrame:
+    """keyed (page_id, url, payload, digest) with the first of shared (digest, first, n)
+    as refers_to; digests of more than share rows are joined by broadcast."""
     hot = shared.where(F.col("n") > share).select("digest", F.col("first").alias("hot_first"))
     rest = shared.where(F.col("n") <= share).select(F.col("digest").alias("key"), "first")
     out = keyed.join(F.broadcast(hot), "digest", "left")

@@ -448,6 +448,18 @@ def test_warc(spark, monkeypatch):
     assert warc.round_trip(pages.limit(0)).isEmpty()
     kinds = {r.record_type for r in warc.round_trip(pages, min_bytes=5).where("page_id < 5").collect()}
     assert kinds == {"response"}
+    monkeypatch.setattr(warc, "MAX_BITS", 1)
+    full = {(r.page_id, r.payload_bytes): (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert full == found
+
+
+def test_warc_repeat_bit(spark):
+    keyed = spark.range(40_000).select("id", F.unhex(F.sha1(F.col("id").cast("string").cast("binary"))).alias("digest"))
+    marked = warc.with_repeat_bit(keyed, keyed.where("id % 10 = 0"))
+    found = {(r.of_repeats, r.repeats): r["count"] for r in marked.groupBy((F.col("id") % 10 == 0).alias("of_repeats"), "repeats").count().collect()}
+    assert found[True, True] == 4_000 and (True, False) not in found
+    assert found[False, False] > 36_000 * 0.9
+    assert not warc.with_repeat_bit(keyed, keyed.limit(0)).where("repeats").count()
 
 
 def test_pipeline(spark, sf, wide, labels, tmp_path):
