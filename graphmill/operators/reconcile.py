@@ -89,8 +89,9 @@ def matched_only(mapped: DataFrame) -> DataFrame:
 
 def enrich(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges with the names and types of both ends, missing ones null, and
-    is_valid: a drug and a disease in either order."""
-    side = lambda s: nodes.select(F.col("node_index").alias(f"{s}_index"), F.col("node_name").alias(f"{s}_name"), F.col("node_type").alias(f"{s}_type"))
+    is_valid: a drug and a disease in either order. A task holds its share of the nodes;
+    edges pass by it unsorted, so one end with very many of them takes no memory."""
+    side = lambda s: nodes.select(F.col("node_index").alias(f"{s}_index"), F.col("node_name").alias(f"{s}_name"), F.col("node_type").alias(f"{s}_type")).hint("shuffle_hash")
     out = edges.join(side("x"), "x_index", "left").join(side("y"), "y_index", "left")
     kinds = ("drug", "disease")
     valid = F.col("x_type").isin(*kinds) & F.col("y_type").isin(*kinds) & (F.col("x_type") != F.col("y_type"))
