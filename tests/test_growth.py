@@ -3,6 +3,7 @@
 from graphmill.functions.lineage import settled
 from graphmill.operators import edges as E
 from graphmill.operators import reconcile as R
+from graphmill.operators import similarity as J
 from graphmill.sources import tables as T
 
 
@@ -48,3 +49,17 @@ def test_shuffles_get_room_for_the_lines(spark, sf, monkeypatch):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "5000"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_similar_vectors_move_once_to_a_tile(spark):
+    """Pairs are joined with no degrees and no vectors."""
+    adj = spark.createDataFrame([(1, 7), (2, 7), (2, 8), (3, 8)], "node long, nbr long")
+    members = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    sim = J.jaccard(adj, members)
+    assert str(sim._jdf.queryExecution().optimizedPlan().toString()).split("Join")[0].count("Aggregate") == 1
+    assert sorted(tuple(r) for r in sim.collect()) == [(1, 2, 0.5), (2, 3, 0.5)]
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [4.0]), (9, [5.0])], "node long, vector array<double>")
+    out = J.blended(vectors, J.both_ways(sim, members), members.limit(0).selectExpr("node", "0 AS degree"), 1)
+    assert "CoGroups" in out._jdf.queryExecution().toString()
+    got = {r.node: r.vector[0] for r in out.collect()}
+    assert abs(got[1] - (0.9 * (1 + 0.5 * 4) / 1.5 + 0.1 * 1)) < 1e-12 and abs(got[2] - (0.9 * (4 + 0.5 * 1) / 2 + 0.1 * 4)) < 1e-12 and got[9] == 5.0
