@@ -7,13 +7,14 @@ article (article, main, role main, articleBody), the blocks in it are its text
 and all others are frame. A declared article lifts what only a class or id around
 it says, and its own header is its title; what is frame inside it stays frame.
 
-The host decides the rest. The blocks outside articles of all its pages are
-concatenated as streams of tokens, and a suffix array finds substrings of RUN or
+The host decides the rest, by suffix arrays over all its pages. The blocks outside
+articles are concatenated as streams of tokens, and the array finds substrings of RUN or
 more tokens that occur in distinct streams. On pages that declare no article the tokens
 that such substrings cover are removed, and the runs that are unique to the page
-remain. A declared article keeps all its blocks but those of RUN or more tokens
-that stand in the articles of nearly all of the host's pages (SHARE of at least LEAST
-distinct articles): only articles count for that, never menus or adverts that say
+remain. The blocks of declared articles have arrays of their own, which find the substrings
+of RUN or more tokens that stand in the articles of nearly all of the host's pages (SHARE
+of at least LEAST distinct articles): a block that these cover from end to end goes, all
+others stay whole. Only articles count for that, never menus or adverts that say
 the same. Passages that some articles share are content.
 
 A host may hold any share of the pages: its distinct streams are dealt into shards of
@@ -21,8 +22,11 @@ about SHARD tokens, each with a suffix array of its own, whose classes of equal
 substrings (one row per distinct substring of RUN tokens, not per place) are
 merged across shards by a map-side combined aggregation. A substring of RUN tokens
 or more is repeated across pages exactly if the RUN-token substrings in it are, so
-the merge loses none. A page is parsed once, into a table of its blocks; of articles
-only blocks' hashes move. Parsing is linear in the page, however deep its elements.
+the merge loses none. What SHARE of a host's articles have, SHARE of the articles of at
+least one shard have: of articles' classes only these move, and are counted over all
+of the host's articles. A page is parsed once, into a table of its blocks; articles are kept
+and moved deflated, at most one of equal ones from each task. Parsing is linear in the
+page, however deep its elements.
 
 Defined results: null or empty html has the empty text; a null url is a host of
 its own; rows of equal content are one page to the host, and each gets its text; a null page_id comes back null; a tag that the page ends in is dropped
@@ -33,6 +37,7 @@ are read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
 from html import unescape
@@ -48,8 +53,10 @@ from graphmill.llm.shared import small_batches, text_of, written
 RUN = 8
 #: Tokens of a host in one shard, about.
 SHARD = 32_768
-#: A block goes from a host's articles if this share of them has it, where there are so many distinct ones.
+#: A substring goes from a host's articles if this share of them has it, where there are so many distinct ones.
 SHARE, LEAST = 0.9, 10
+#: Articles a task remembers to pass on only one of equal ones.
+SEEN = 100_000
 MAIN, OPEN, FRAME, MUTE = "main", "open", "frame", "mute"
 
 # Quotes count after = only; possessive, so that no position is tried twice.
@@ -298,6 +305,43 @@ def shard_classes(pdf):
     return pd.DataFrame({"host": pdf["host"].iloc[0], "gram": np.array(grams, np.int64), "low": np.minimum.reduceat(page, cuts), "high": np.maximum.reduceat(page, cuts)})
 
 
+def deflated(text: str) -> bytes:
+    return zlib.compress(text.encode(), 6)
+
+
+def inflated(data: bytes) -> str:
+    return zlib.decompress(data).decode()
+
+
+def article_classes(pdf):
+    """For applyInPandas: of the distinct articles of a shard one row with their number
+    (whole), and one per substring of RUN tokens that SHARE of them have in their
+    blocks: its hash, and how many have it."""
+    import pandas as pd
+
+    streams, owner = [], []
+    for i, data in enumerate(pdf["article"]):
+        for words in (block.split(" ") for block in inflated(data).split("\n")):
+            if len(words) >= RUN:
+                streams.append(words)
+                owner.append(i)
+    grams, counts = [], []
+    if streams:
+        order, classes, stream = suffix_classes(streams)
+        order, classes = order[classes >= 0], classes[classes >= 0]
+        page = np.array(owner)[stream[order]]  # ascends within a class
+        new = np.concatenate(([True], classes[1:] != classes[:-1]))
+        cuts = np.flatnonzero(new)
+        held = np.add.reduceat((new | np.concatenate(([True], page[1:] != page[:-1]))).astype(np.int64), cuts)
+        starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in streams])))
+        most = held >= SHARE * len(pdf)
+        counts = held[most].tolist()
+        for p in order[cuts[most]]:
+            i = stream[p]
+            grams.append(words_hash(streams[i][p - starts[i] : p - starts[i] + RUN]))
+    return pd.DataFrame({"host": pdf["host"].iloc[0], "gram": np.array([0, *grams], np.int64), "n": np.array([len(pdf), *counts], np.int64), "whole": [True] + [False] * len(grams)})
+
+
 def words_hash(words: list[str]) -> int:
     import xxhash
 
@@ -309,22 +353,59 @@ def host_of(url: str | Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-PARSED = "article array<string>, hashes array<long>, blocks array<array<string>>, loose array<boolean>"
-KINDS = [("article", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("blocks", pa.list_(pa.list_(pa.string()))), ("loose", pa.list_(pa.bool_()))]
+PARSED = "article binary, body long, size int, first boolean, blocks array<array<string>>, loose array<boolean>"
+KINDS = [("article", pa.binary()), ("body", pa.int64()), ("size", pa.int32()), ("first", pa.bool_()), ("blocks", pa.list_(pa.list_(pa.string()))), ("loose", pa.list_(pa.bool_()))]
 
 
-def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Of each page: its article's blocks (null: it declares none) and their hashes (0
-    for those under RUN tokens), the words of the other blocks, and which of these aren't frame."""
-    for pages in batches:
+def parsed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Of each page: its article's blocks (null: it declares none), deflated, their hash and
+    number of words, whether the task meets it first on this host; the words of the other
+    blocks, and which of these aren't frame."""
+    seen: set[tuple[str, int]] = set()
+    for pages, hosts in batches:
         rows = []
-        for blocks in map(blocks_of, pages.to_pylist()):
-            article, other = [text for part, text in blocks if part == MAIN], [(part, text.split(" ")) for part, text in blocks if part != MAIN]
-            hashes = [words_hash(w) if len(w) >= RUN else 0 for w in (text.split(" ") for text in article)]
-            rows.append({"article": article if declared(blocks) else None, "hashes": hashes, "blocks": [w for _, w in other], "loose": [part == OPEN for part, _ in other]})
+        for blocks, host in zip(map(blocks_of, pages.to_pylist()), hosts.to_pylist(), strict=True):
+            other = [(part, text.split(" ")) for part, text in blocks if part != MAIN]
+            row = {"article": None, "body": None, "size": 0, "first": False, "blocks": [w for _, w in other], "loose": [part == OPEN for part, _ in other]}
+            if declared(blocks):
+                text = main_text(blocks)
+                body = words_hash([text])
+                row |= {"article": deflated(text), "body": body, "size": len(text.split()), "first": (host, body) not in seen}
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add((host, body))
+            rows.append(row)
         yield pa.array(rows, pa.struct(KINDS))
 
 
+def article_texts(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """Articles without the blocks that substrings of RUN tokens with the given hashes (null: none) cover."""
+    for articles, gone in batches:
+        out = []
+        for data, hashes in zip(articles.to_pylist(), gone.to_pylist(), strict=True):
+            text = inflated(data)
+            if hashes:
+                hashes = set(hashes)
+                text = "\n".join(block for block in text.split("\n") if not covered(block.split(" "), hashes))
+            out.append(text)
+        yield pa.array(out, pa.string())
+
+
+def covered(words: list[str], hashes: set[int]) -> bool:
+    places = [i for i in range(len(words) - RUN + 1) if words_hash(words[i : i + RUN]) in hashes]
+    return bool(places) and bool(covered_tokens(len(words), places).all())
+
+
+def article_grams(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The hashes of the substrings of RUN tokens in an article's blocks, each once."""
+    for articles in batches:
+        rows = []
+        for data in articles.to_pylist():
+            blocks = [block.split(" ") for block in inflated(data).split("\n")]
+            rows.append(list({words_hash(w[i : i + RUN]) for w in blocks for i in range(len(w) - RUN + 1)}))
+        yield pa.array(rows, pa.list_(pa.int64()))
+
+
 def unique_texts(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     for blocks, loose, places in batches:
         yield pa.array([unique_text(*page) for page in zip(blocks.to_pylist(), loose.to_pylist(), places.to_pylist(), strict=True)], pa.string())
@@ -354,33 +435,41 @@ def repeated_places(streams: DataFrame, shard: int) -> DataFrame:
     return found.groupBy("page_key").agg(F.collect_list("place").alias("places"))
 
 
-def shared_blocks(articles: DataFrame) -> DataFrame:
-    """(host, block): hashes of the blocks that nearly all articles of a host have.
-    articles: host, article, hashes. Equal articles count once."""
-    distinct = articles.groupBy("host", F.xxhash64("article").alias("body")).agg(F.first("hashes").alias("hashes"))
-    sizes = distinct.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    counts = distinct.select("host", F.explode(F.array_distinct("hashes")).alias("block")).where("block <> 0").groupBy("host", "block").count()
-    return counts.where(F.col("count") >= LEAST * SHARE).join(sizes, "host").where(F.col("count") >= F.col("n") * SHARE).select("host", "block")
+def shared_grams(articles: DataFrame, shard: int) -> DataFrame:
+    """(host, gram): hashes of the substrings of RUN tokens that nearly all articles of a
+    host have. articles: host, body, size, article. Equal articles count once."""
+    # No shard of fewer than LEAST articles on average: of few, all would have nearly everything.
+    large = articles.groupBy("host").agg(F.sum("size").alias("n"), F.count("*").alias("of")).where((F.col("n") > shard) & (F.col("of") > LEAST))
+    large = written(large.select("host", F.least(F.ceil(F.col("n") / shard), F.ceil(F.col("of") / LEAST)).cast("int").alias("shards")), "html-article-hosts")
+    dealt = articles.join(F.broadcast(large), "host", "left").select("host", F.pmod("body", F.coalesce("shards", F.lit(1))).alias("shard"), "body", "article")
+    # One shuffle for both: equal articles are in one shard.
+    distinct = dealt.repartition("host", "shard").groupBy("host", "shard", "body").agg(F.first("article").alias("article"))
+    classes = written(distinct.groupBy("host", "shard").applyInPandas(article_classes, "host string, gram long, n long, whole boolean"), "html-article-classes")
+    sizes = classes.where("whole").groupBy("host").agg(F.sum("n").alias("of")).where(F.col("of") >= LEAST)
+    candidates = written(classes.where("NOT whole").select("host", "gram").distinct().join(sizes, "host"), "html-article-candidates")
+    if candidates.isEmpty():
+        return candidates.select("host", "gram")
+    held = articles.select("host", "body", F.explode(F.arrow_udf(article_grams, "array<long>")("article")).alias("gram"))
+    counts = held.join(candidates, ["host", "gram"]).select("host", "gram", "of", "body").distinct().groupBy("host", "gram", "of").count()
+    return written(counts.where(F.col("count") >= F.col("of") * SHARE).select("host", "gram"), "html-shared")
 
 
 def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard: int = SHARD) -> DataFrame:
     """page_id, url, text of every row of pages."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.arrow_udf(parsed, PARSED)(text_of(html_col)).alias("p"))
+    host = host_of(F.col(url_col))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.arrow_udf(parsed, PARSED)(text_of(html_col), host).alias("p"))
     rows = rows.select("page_id", "url", "host", "p.*").withColumn("page_key", F.xxhash64("host", "blocks"))
     rows = written(rows, "html-parsed")
     articles, loose = rows.where("article IS NOT NULL"), rows.where("article IS NULL")
 
-    # A row per host and block at most that SHARE of its articles have: few, and joined by host.
-    blocks = written(shared_blocks(articles.select("host", "article", "hashes")), "html-shared")
-    gone = blocks.groupBy("host").agg(F.collect_set("block").alias("gone"))
-    kept = F.filter(F.arrays_zip("article", "hashes"), lambda b: ~F.array_contains("gone", b["hashes"]))
-    own = F.when(F.col("gone").isNull(), F.col("article")).otherwise(F.transform(kept, lambda b: b["article"]))
-    if blocks.isEmpty():
-        own, joined = F.col("article"), articles
+    # A row per host: no more substrings than SHARE of its articles have, so about an article's.
+    shared = shared_grams(articles.where("first").select("host", "body", "size", "article"), shard)
+    if shared.isEmpty():
+        joined = articles.withColumn("gone", F.lit(None).cast("array<long>"))
     else:
-        joined = articles.join(gone, "host", "left")
-    whole = joined.select("page_id", "url", F.array_join(own, "\n").alias("text"))
+        joined = articles.join(shared.groupBy("host").agg(F.collect_set("gram").alias("gone")), "host", "left")
+    whole = joined.select("page_id", "url", F.arrow_udf(article_texts, "string")("article", "gone").alias("text"))
 
     places = written(repeated_places(rows.select("page_key", "host", "blocks"), shard), "html-places")
     cut = loose.join(places, "page_key", "left").select("page_id", "url", F.arrow_udf(unique_texts, "string")("blocks", "loose", "places").alias("text"))

@@ -294,6 +294,24 @@ def test_articles_stay_whole(spark):
     assert all((notice in found[200 + i]) == (i < 8) for i in range(20))
 
 
+@pytest.mark.parametrize("shard", [1, 300, 100_000])
+def test_suffix_arrays_decide_in_articles(spark, shard):
+    """Notices that stand in one block here and in two there are found as substrings; a
+    block that says more than these stays whole. Nor do other hosts or copies count."""
+    one, two = "All rights to this article are reserved by its publisher", "Write to the editors if you find any error in it"
+    notice = lambda i: f"<p>{one} {two}</p>" if i % 2 else f"<p>{one}</p><p>{two}</p>"
+    page = lambda i, end: f"<article><p>Own words {i} of this one article that nobody else has {i}</p>{end}</article>"
+    rows = [(i, "http://a/x", page(i, notice(i) if i else f"<p>{one} but not this time</p>")) for i in range(20)]
+    rows += [(100 + i, "http://b/x", page(i, notice(i) if i < 9 else "")) for i in range(20)]
+    rows += [(200 + i, "http://b/x", page(1, notice(1))) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in html_extract.main_texts(pages, shard=shard).collect()}
+    own = lambda i: f"Own words {i} of this one article that nobody else has {i}"
+    assert found[0] == f"{own(0)}\n{one} but not this time"
+    assert all(found[i] == own(i) for i in range(1, 20))
+    assert all((two in found[100 + i]) == (i < 9) for i in range(20)) and all(found[200 + i] == f"{own(1)}\n{one} {two}" for i in range(100))
+
+
 def test_query_keeps_every_article_block(spark, sf):
     """Against the parser alone: of the pages' declared articles nothing goes."""
     from graphmill.llm.queries import op5_html_text
