@@ -32,6 +32,7 @@ import base64
 import gc
 import pickle
 import re
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -54,7 +55,7 @@ NODE = (1 << SHIFT) - 1
 START = NODE
 NEVER = 1 << 62
 #: Bounds of what one task remembers: determinised sets, pairs, pieces.
-STATES, PAIRS, PIECES = 160_000, 250_000, 200_000
+STATES, PAIRS, PIECES = 160_000, 250_000, 100_000
 BLOCK = 1 << 12
 
 
@@ -81,31 +82,33 @@ class Tables(NamedTuple):
 
     ranks: dict[bytes, int]
     child: dict[int, int]  # node << 8 | byte -> node
-    token: list[int]  # that ends at a node
-    inner: list[bool]  # whether longer tokens go on from a node
-    #: Of each token the two parts that its last merge joins; none for one byte.
-    halves: dict[int, tuple[int, int]]
+    token: array  # that ends at a node
+    inner: bytearray  # whether longer tokens go on from a node
+    #: Of each token the two parts that its last merge joins; NONE for one byte.
+    first: array
+    second: array
     #: Whether all merges on the way to a token come in the order of their ranks.
     ordered: bool
 
 
 def compiled(ranks: dict[bytes, int]) -> Tables:
-    child, at, inner, halves, ordered = {}, [NONE], [False], {}, True
+    child, at, inner, ordered = {}, array("i", [NONE]), bytearray(1), True
+    first, second = (array("i", [NONE]) * (max(ranks.values()) + 1) for _ in range(2))
     for token, i in ranks.items():
         merges: list[tuple[int, bytes, bytes]] = []
         if len(token) == 1 or merged(token, ranks, merges) == [i]:
             ordered &= merges == sorted(merges, key=lambda m: m[0])
             if merges:
-                halves[i] = ranks[merges[-1][1]], ranks[merges[-1][2]]
+                first[i], second[i] = ranks[merges[-1][1]], ranks[merges[-1][2]]
             node = ROOT
             for b in token:
-                inner[node] = True
+                inner[node] = 1
                 node = child.setdefault(node << 8 | b, len(at))
                 if node == len(at):
                     at.append(NONE)
-                    inner.append(False)
+                    inner.append(0)
             at[node] = i
-    return Tables(ranks, child, at, inner, halves, ordered)
+    return Tables(ranks, child, at, inner, first, second, ordered)
 
 
 class Transducer:
@@ -116,9 +119,10 @@ class Transducer:
     """
 
     def __init__(self, tables: Tables):
-        self.ranks, self.child, self.token, self.inner, self.halves, self.ordered = tables
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
-        self.length = {i: len(b) for b, i in self.ranks.items()}
+        self.ranks, self.child, self.token, self.inner, self.first, self.second, self.ordered = tables
+        self.bytes_of = [b""] * len(self.first)
+        for token, i in self.ranks.items():
+            self.bytes_of[i] = token
         self.pairs: dict[int, bool] = {}
         self.forget()
 
@@ -144,15 +148,15 @@ class Transducer:
         """Whether no merge crosses the border of two tokens. The merges of both are
         undone, latest first (of equal ranks the one further left came first): one
         crosses if the parts at the border then have a rank below the merge undone last."""
-        ranks, bytes_of, halves, limit = self.ranks, self.bytes_of, self.halves, NEVER
+        ranks, bytes_of, first, second, limit = self.ranks, self.bytes_of, self.first, self.second, NEVER
         while True:
             rank = ranks.get(bytes_of[left] + bytes_of[right])
             if rank is not None and rank < limit:
                 return False
-            if left in halves and (left > right or right not in halves):
-                limit, left = left, halves[left][1]
-            elif right in halves:
-                limit, right = right + 1, halves[right][0]
+            if second[left] != NONE and (left > right or first[right] == NONE):
+                limit, left = left, second[left]
+            elif first[right] != NONE:
+                limit, right = right + 1, first[right]
             else:
                 return True
 
@@ -181,11 +185,11 @@ class Transducer:
 
     def settled(self, states: list[int]) -> list[int]:
         """The tokens of a stretch, from the state after each byte."""
-        ids, at, paths, length = [], len(states), self.paths, self.length
+        ids, at, paths, data = [], len(states), self.paths, self.bytes_of
         while at:
             token = paths[states[at - 1]][-2]
             ids.append(token)
-            at -= length[token]
+            at -= len(data[token])
         return ids[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
