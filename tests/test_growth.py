@@ -3,6 +3,7 @@
 from graphmill.functions.lineage import settled
 from graphmill.operators import edges as E
 from graphmill.operators import reconcile as R
+from graphmill.operators import sampling as S
 from graphmill.operators import similarity as J
 from graphmill.sources import tables as T
 
@@ -63,3 +64,18 @@ def test_similar_vectors_move_once_to_a_tile(spark):
     assert "CoGroups" in out._jdf.queryExecution().toString()
     got = {r.node: r.vector[0] for r in out.collect()}
     assert abs(got[1] - (0.9 * (1 + 0.5 * 4) / 1.5 + 0.1 * 1)) < 1e-12 and abs(got[2] - (0.9 * (4 + 0.5 * 1) / 2 + 0.1 * 4)) < 1e-12 and got[9] == 5.0
+
+
+def test_first_attempts_go_in_slices(spark, monkeypatch):
+    """By slices or at once the negatives are the same, and no more than a slice is joined at once."""
+    edges = spark.createDataFrame([("r", i, 100 + i * j % 9) for i in range(40) for j in range(3)], "relation string, src long, dst long")
+    known = settled(edges.distinct())
+    pool = settled(E.pools(known))
+    want = sorted(tuple(r) for r in S.typed_negatives(edges, pool, known).collect())
+    joined = []
+    monkeypatch.setattr(S, "SLICE", 30)
+    monkeypatch.setattr(S, "stored", lambda df, label: joined.append(df.count()) or df)
+    assert sorted(tuple(r) for r in S.typed_negatives(edges, pool, known).collect()) == want
+    assert len(joined) == 8 and sum(joined) == 240 and max(joined) < 60
+    got = S.typed_negatives(known, pool, known, distinct=True)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in S.typed_negatives(known, pool, known).collect())
