@@ -1,5 +1,9 @@
 """What must not grow faster than the input: work done twice, and what one task holds."""
 
+import time
+
+from pyspark.sql import functions as F
+
 from graphmill.functions.lineage import settled
 from graphmill.operators import edges as E
 from graphmill.operators import reconcile as R
@@ -79,3 +83,23 @@ def test_first_attempts_go_in_slices(spark, monkeypatch):
     assert len(joined) == 8 and sum(joined) == 240 and max(joined) < 60
     got = S.typed_negatives(known, pool, known, distinct=True)
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in S.typed_negatives(known, pool, known).collect())
+
+
+def test_stored_tables_leave_no_shuffles(spark):
+    """What made a table goes from the disk, and tiles of similarities hold their ends only."""
+
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    before = held()
+    rows = settled(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and rows.count() == 7
+    vectors = spark.createDataFrame([(1, [1.0])], "node long, vector array<double>")
+    full = settled(spark.createDataFrame([(1, 1, 1.0)], "i long, j long, sim double"))
+    out = J.blended(vectors, full, spark.createDataFrame([], "node long, degree long"), 1)
+    assert "batch" not in plan(out) and [tuple(r) for r in out.collect()] == [(1, [1.0])]
